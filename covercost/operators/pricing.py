@@ -104,20 +104,23 @@ def _z(c: str) -> Column:
     return F.coalesce(N.nan_to_null(F.col(c)), F.lit(0.0))
 
 
-def totals_columns(factor: float = SS_FACTOR, group_rows: bool = True) -> list[Column]:
-    """The five totals as exact decimal sums converted to double at the end."""
+TOTAL_NAMES = ("total_incidencias", "total_nocturnidad", "total_traslados", "total_simple", "total_con_ss")
+
+
+def totals_decimal(factor: float = SS_FACTOR) -> list[Column]:
+    """The five totals as exact decimals (sums do not depend on row order)."""
     inc = F.sum(_z("incidencia_precio").cast(D_QTY) * _z("incidencia_horas").cast(D_QTY)).cast(D_SUM)
     noct = F.sum(_z("precio_nocturnidad").cast(D_RATE) * _z("nocturnidad_horas").cast(D_QTY)).cast(D_SUM)
     tras = F.sum(_z("traslados_total").cast(D_QTY) * _z("coste_hora").cast(D_RATE)).cast(D_SUM)
     zero = F.lit(0).cast(D_SUM)
     inc, noct, tras = F.coalesce(inc, zero), F.coalesce(noct, zero), F.coalesce(tras, zero)
-    return [
-        inc.cast("double").alias("total_incidencias"),
-        noct.cast("double").alias("total_nocturnidad"),
-        tras.cast("double").alias("total_traslados"),
-        (inc + noct + tras).cast("double").alias("total_simple"),
-        ((inc + noct) * F.lit(str(factor)).cast(D_FACTOR) + tras).cast("double").alias("total_con_ss"),
-    ]
+    exprs = (inc, noct, tras, inc + noct + tras, (inc + noct) * F.lit(str(factor)).cast(D_FACTOR) + tras)
+    return [e.alias(n) for e, n in zip(exprs, TOTAL_NAMES)]
+
+
+def totals_columns(factor: float = SS_FACTOR) -> list[Column]:
+    """The five totals as doubles, converted from the exact decimal sums."""
+    return [c.cast("double").alias(n) for c, n in zip(totals_decimal(factor), TOTAL_NAMES)]
 
 
 def scope_gate(df: DataFrame) -> DataFrame:
@@ -137,10 +140,10 @@ def summary_totals(facts: DataFrame, m: Masters, factor: float = SS_FACTOR) -> D
     return v.agg(F.count(F.lit(1)).alias("n_validas"), *totals_columns(factor))
 
 
-def summary_formatted(summary: DataFrame) -> DataFrame:
-    """Totals as money text (``€1,234.50``)."""
-    names = ("total_incidencias", "total_nocturnidad", "total_traslados", "total_simple", "total_con_ss")
-    return summary.select(*SCOPE, *[N.money(F.col(n)).alias(n) for n in names])
+def summary_formatted(facts: DataFrame, m: Masters, factor: float = SS_FACTOR) -> DataFrame:
+    """Totals per scope as money text (``€1,234.50``), rounded from the exact sums."""
+    v = with_night_rate(valid_incidents(scope_gate(facts)), m)
+    return v.groupBy(*SCOPE).agg(*[N.money(c).alias(n) for c, n in zip(totals_decimal(factor), TOTAL_NAMES)])
 
 
 def distinct_rate_keys(facts: DataFrame, m: Masters) -> DataFrame:

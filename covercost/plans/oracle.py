@@ -393,6 +393,12 @@ for _n in ("new_by_centre", "new_by_worker", "new_replicate"):
         "centre_first")
 
 
+cte("v_", """select a.*, w.wk_, c.ck_ from applied a
+left join (select nombre_empleado, true as wk_ from worker_dim) w on a.trabajador = w.nombre_empleado
+left join (select distinct codigo_centro, true as ck_ from centros_clean) c on a.codigo_crown_destino = c.codigo_centro""",
+    "applied", "worker_dim", "centros_clean")
+
+
 def with_ctes(body: str, *names: str) -> str:
     order: list[str] = []
 
@@ -495,10 +501,11 @@ def oracle_sql() -> dict[str, str]:
     out["summary_by_scope"] = with_ctes(f"select {SCOPE}, n_validas, {_TOTALS} from scope_sums", "scope_sums")
     out["summary_totals"] = with_ctes(f"select n_validas, {_TOTALS} from (select {_SUMS} from rated_valid)",
                                       "rated_valid")
-    money = ", ".join(f"'€' || printf('%,.2f', cast({n} as decimal(38,2))) as {n}" for n in
-                      ("total_incidencias", "total_nocturnidad", "total_traslados", "total_simple", "total_con_ss"))
-    out["summary_formatted"] = with_ctes(f"select {SCOPE}, {money} from (select {SCOPE}, {_TOTALS} from scope_sums)",
-                                         "scope_sums")
+    exact = {"total_incidencias": "s_inc", "total_nocturnidad": "s_noct", "total_traslados": "s_tras",
+             "total_simple": "s_inc + s_noct + s_tras",
+             "total_con_ss": f"(s_inc + s_noct) * cast('{SS_FACTOR}' as decimal(5,4)) + s_tras"}
+    money = ", ".join(f"'€' || printf('%,.2f', cast({e} as decimal(38,2))) as {n}" for n, e in exact.items())
+    out["summary_formatted"] = with_ctes(f"select {SCOPE}, {money} from scope_sums", "scope_sums")
     out["incident_counts"] = with_ctes(f"""select {SCOPE}, count(*) as n_total, count_if({VALID}) as n_validas,
         count(*) - count_if({VALID}) as n_incompletas from facts group by {SCOPE}""", "facts")
     out["scopes_without_valid"] = with_ctes(f"""select {SCOPE}, count(*) as n_total, count_if({VALID}) as n_validas,
@@ -507,10 +514,7 @@ def oracle_sql() -> dict[str, str]:
         from (select {SCOPE}, incidencia_id, seq as posicion, {_missing_sql()} as problemas from paged where seq <= 3) p
         join (select {SCOPE}, greatest(count(*) - 3, 0) as n_mas from facts group by {SCOPE}) c
         on p.session_jefe = c.session_jefe and p.imputacion_nomina = c.imputacion_nomina""", "paged", "facts")
-    out["domain_violations"] = with_ctes(f"""with v_ as (select a.*, w.wk_, c.ck_ from applied a
-          left join (select nombre_empleado, true as wk_ from worker_dim) w on a.trabajador = w.nombre_empleado
-          left join (select distinct codigo_centro, true as ck_ from centros_clean) c on a.codigo_crown_destino = c.codigo_centro)
-        {_violations_sql()}""", "applied", "worker_dim", "centros_clean")
+    out["domain_violations"] = with_ctes(_violations_sql(), "v_")
     out["parse_fecha"] = with_ctes(f"""select incidencia_id, fecha, coalesce(
         cast(try_strptime({strip('fecha')}, '%d/%m/%Y') as date), cast(try_strptime({strip('fecha')}, '%d-%m-%Y') as date),
         cast(try_strptime({strip('fecha')}, '%d.%m.%Y') as date), cast(try_strptime({strip('fecha')}, '%Y-%m-%d') as date)) as fecha_dt
@@ -557,7 +561,7 @@ def oracle_sql() -> dict[str, str]:
         out[key] = with_ctes(f"select {FACTS} from {src}", src)
     out["append_intake"] = with_ctes(f"""select {FACTS}, seq from paged
         union all
-        select {FACTS}, coalesce(c.n_, 0) + row_number() over (partition by n.session_jefe, n.imputacion_nomina
+        select {', '.join('n.' + c for c in FACT_COLUMNS)}, coalesce(c.n_, 0) + row_number() over (partition by n.session_jefe, n.imputacion_nomina
                order by n.request_id, n.orden_) as seq
         from (select * from enriched_new_by_centre union all select * from enriched_new_by_worker) n
         left join (select {SCOPE}, count(*) as n_ from facts group by {SCOPE}) c

@@ -184,7 +184,8 @@ def summary_totals(spark, d):
 
 
 def summary_formatted(spark, d):
-    return P.summary_formatted(summary_by_scope(spark, d))
+    c = context(spark, d)
+    return P.summary_formatted(c.facts, c.masters)
 
 
 def incident_counts(spark, d):
