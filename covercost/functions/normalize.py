@@ -13,15 +13,13 @@ from pyspark.sql import functions as F
 from covercost.constants import (DEFAULT_ACCOUNT, MISSING_TEXT, SERVICE_CATERING,
                                  SERVICE_CLEANING, SERVICE_CLEANING_PATTERN)
 
-# Whitespace removed by Python's str.strip().
-_UNICODE_SPACES = (0x1680, (0x2000, 0x200A), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-_WS = "[" + r"\t\n\x0B\f\r\x1c-\x20\x85\xa0" + "".join(
-    "\\u%04x-\\u%04x" % cp if isinstance(cp, tuple) else "\\u%04x" % cp for cp in _UNICODE_SPACES) + "]"
+# Whitespace removed by Python's str.strip(), as code points.
+_WS_POINTS = (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+WS_CHARS = "".join(map(chr, _WS_POINTS))
 _DIGITS = r"\d(?:_?\d)*"
+# Python float() literal (used only for text containing underscores).
 _PY_FLOAT = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
-_PY_SPECIAL = r"^(?i)[+-]?(?:inf|infinity|nan)$"
-# Text made only of digits, dots and minus signs, with at least one digit.
-_CODE_LIKE = r"^[-.0-9]*[0-9][-.0-9]*$"
 
 
 def col(c) -> Column:
@@ -30,14 +28,22 @@ def col(c) -> Column:
 
 def strip_ws(c) -> Column:
     """Python ``str.strip()``: remove leading and trailing whitespace."""
-    return F.regexp_replace(col(c), rf"^{_WS}+|{_WS}+$", "")
+    return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def py_float(c) -> Column:
-    """Parse text the way Python's ``float()`` does; null where it raises."""
+    """Parse text the way Python's ``float()`` does; null where it raises.
+
+    Spark's cast is used directly, except for forms only Java accepts (hex,
+    ``d``/``f`` type suffixes, which Python rejects) and for digit
+    underscores (which Python accepts and Spark does not).
+    """
     s = strip_ws(col(c).cast("string"))
-    return (F.when(s.rlike(_PY_FLOAT), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
-            .when(s.rlike(_PY_SPECIAL), s.try_cast("double")))
+    low = F.lower(s)
+    java_only = (low.contains("x") | low.endswith("d")
+                 | (low.endswith("f") & ~low.isin("inf", "+inf", "-inf")))
+    underscored = F.when(s.rlike(_PY_FLOAT), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
+    return F.when(s.contains("_"), underscored).when(~java_only, s.try_cast("double"))
 
 
 def py_int_text(c) -> Column:
@@ -45,6 +51,12 @@ def py_int_text(c) -> Column:
     return py_float(c).try_cast("bigint").cast("string")
 
 
+def code_like(c) -> Column:
+    """Only digits, dots and minus signs, with at least one digit."""
+    c = col(c)
+    return (F.translate(c, "0123456789.-", "") == "") & (F.translate(c, ".-", "") != "")
+
+
 def nan_to_null(c) -> Column:
     c = col(c)
     return F.when(~F.isnan(c), c)
@@ -58,7 +70,7 @@ def centre_code(c) -> Column:
     """
     c = col(c)
     as_int = py_int_text(c)
-    return F.when(c.rlike(_CODE_LIKE) & as_int.isNotNull(), as_int).otherwise(c)
+    return F.when(code_like(c) & as_int.isNotNull(), as_int).otherwise(c)
 
 
 def agreement_code(c) -> Column:
@@ -73,8 +85,12 @@ def rate_category(c) -> Column:
 
 
 def incident_category(c) -> Column:
-    """Category key on the incident side: trimmed upper text, one-letter first word dropped."""
-    return F.regexp_replace(F.upper(strip_ws(F.coalesce(col(c), F.lit("")))), r"^[^ ] ", "")
+    """Category key on the incident side: trimmed upper text, one-letter first word dropped.
+
+    Only the first space splits: ``H  ASL`` keeps a leading space.
+    """
+    x = F.upper(strip_ws(F.coalesce(col(c), F.lit(""))))
+    return F.when(F.substring(x, 2, 1) == " ", x.substr(F.lit(3), F.length(x))).otherwise(x)
 
 
 def service_for(category) -> Column:

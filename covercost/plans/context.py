@@ -24,20 +24,20 @@ class Context:
         s, d = self.spark, self.sf_dir
         return Masters(s, fx.centros(s, d), fx.trabajadores(s, d), fx.tarifas(s, d), fx.motivos(s, d))
 
-    @property
+    @cached_property
     def incidencias(self) -> DataFrame:
         return fx.incidencias(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def facts(self) -> DataFrame:
-        """Enriched incidents (not cached: the fact table is the large side)."""
+        """Enriched incidents; the plan object is reused, the data is never cached (large side)."""
         return enrich(self.incidencias, self.masters)
 
-    @property
+    @cached_property
     def edits(self) -> DataFrame:
         return fx.edits(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def requests(self) -> DataFrame:
         return fx.requests(self.spark, self.sf_dir)
 

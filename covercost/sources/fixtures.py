@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covercost.constants import MONTHS
+from covercost.operators.joins import ensure_parallelism
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,7 +101,7 @@ def motivos(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
 
 def incidencias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts: one incident per line item, scoped by supervisor session and month."""
-    li = read_table(spark, sf_dir, "lineitem")
+    li = ensure_parallelism(read_table(spark, sf_dir, "lineitem"), "l_orderkey")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     ship = F.col("l_shipdate").cast("date")
     cust = F.col("o_custkey")
