@@ -76,3 +76,14 @@ def test_append_and_clear(spark, tiny, facts):
     seqs = sorted(r["seq"] for r in out)
     assert seqs == list(range(1, len(out) + 1))       # new rows continue after existing ones
     assert I.clear_scope(facts, "S1", "01-Enero").count() == 0
+
+
+def test_edits_from_view_round_trip(spark, tiny, facts):
+    from covercost.operators import report as R
+    view = R.edit_view(R.working_view(facts, tiny)).filter("incidencia_id = '5'")
+    e = E.edits_from_view(view.withColumn("Motivo", view["Motivo"]).withColumn("Borrar", view["Borrar"]))
+    assert "trabajador" in e.columns and "precio_nocturnidad" not in e.columns
+    out = {r["incidencia_id"]: r for r in E.apply_edits(facts, e, tiny).collect()}
+    before = {r["incidencia_id"]: r for r in facts.collect()}
+    # saving an unchanged page leaves the row as it was
+    assert out["5"].asDict() == before["5"].asDict()
