@@ -62,6 +62,57 @@ REQUIRED_FIELDS = ("trabajador", "facturable", "motivo", "codigo_crown_destino",
 # Export file name pattern pieces.
 EXPORT_PREFIX = "incidencias_"
 EXPORT_TS_FORMAT = "yyyyMMdd_HHmmss"
+EXPORT_TS_FORMAT_PY = "%Y%m%d_%H%M%S"
+
+# Accepted spellings of the worker-name header (lower-cased, trimmed).
+NAME_ALIASES = ("nombre_empleado", "nombre empleado", "nombre")
+
+# Worker attributes and their defaults when missing, null or blank.
+WORKER_DEFAULTS = (
+    ("servicio", ""), ("cat_empleado", ""), ("cod_crown", ""), ("centro_preferente", ""),
+    ("nombre_centro_preferente", ""), ("nombre_jefe_ope", ""), ("coste_hora", 0.0),
+    ("cod_reg_convenio", ""), ("porcen_contrato", ""), ("cod_empresa", ""),
+)
+
+# Exported columns (export name, fact field), in export order.
+EXPORT_FIELDS = (
+    ("Jefe de Operaciones", "nombre_jefe_ope"), ("Mes imputació nómina", "imputacion_nomina"),
+    ("Facturable", "facturable"), ("Servicio", "servicio"), ("Motivo", "motivo"),
+    ("Trabajador", "trabajador"), ("Empresa Destino", "empresa_destino"),
+    ("Código Crown Destino", "codigo_crown_destino"), ("Centro Destino", "nombre_crown_destino"),
+    ("Categoria", "categoria"), ("Cuantía", "incidencia_horas"), ("Precio", "incidencia_precio"),
+    ("Cuantía nocturnidad", "nocturnidad_horas"), ("Precio_nocturnidad", "precio_nocturnidad"),
+    ("Horas traslado", "traslados_total"), ("coste_hora", "coste_hora"),
+    ("Empresa Origen", "centro_preferente"), ("Código Crown Origen", "codigo_crown_origen"),
+    ("Fecha", "fecha"), ("Observaciones", "observaciones"), ("cod_reg_convenio", "cod_reg_convenio"),
+    ("porcen_contrato", "porcen_contrato"), ("cod_empresa", "cod_empresa"),
+    ("nombre_centro", "nombre_centro"),
+)
+
+# Account split columns (column, account code), then the night and total columns.
+ACCOUNT_COLUMNS = (("73_plus_sustitucion", "73"), ("72_incentivos", "72"), ("70_71_festivos", "70_71"))
+NIGHT_COLUMN = "74_plus_nocturnidad"
+TOTAL_COLUMN = "Coste_total"
+
+# Working-view columns (view name, fact field) after "Borrar", in view order.
+VIEW_FIELDS = (
+    ("Trabajador", "trabajador"), ("Facturable", "facturable"), ("Motivo", "motivo"),
+    ("Código Crown Origen", "codigo_crown_origen"), ("Código Crown Destino", "codigo_crown_destino"),
+    ("Empresa Destino", "empresa_destino"), ("Incidencia_horas", "incidencia_horas"),
+    ("Incidencia_precio", "incidencia_precio"), ("Nocturnidad_horas", "nocturnidad_horas"),
+    ("Precio_nocturnidad", "precio_nocturnidad"), ("Traslados_total", "traslados_total"),
+    ("Coste hora empresa", "coste_hora"), ("Fecha", "fecha"), ("Observaciones", "observaciones"),
+    ("Centro preferente", "centro_preferente"), ("Supervisor de operaciones", "nombre_jefe_ope"),
+    ("Categoría", "categoria"), ("Servicio", "servicio"), ("Cod_reg_convenio", "cod_reg_convenio"),
+    ("Nombre Crown Destino", "nombre_crown_destino"),
+)
+# View columns shown as text (null/'nan'/'None' as blank) and as numbers.
+VIEW_TEXT = ("Código Crown Origen", "Código Crown Destino", "Centro preferente", "Fecha", "Observaciones")
+VIEW_NUMBERS = ("Incidencia_horas", "Incidencia_precio", "Nocturnidad_horas", "Precio_nocturnidad",
+                "Traslados_total", "Coste hora empresa")
+# View columns hidden in the editable view.
+EDIT_HIDDEN = ("Cod_reg_convenio", "Categoría", "Centro preferente", "Coste hora empresa",
+               "Supervisor de operaciones", "Servicio", "Nombre Crown Destino")
 
 # ---------------------------------------------------------------------------
 # Tunable defaults (parameters, not behaviour)

@@ -12,18 +12,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covercost.constants import DEFAULT_EXCLUDED_SUPERVISORS, MISSING_TEXT
+from covercost.constants import DEFAULT_EXCLUDED_SUPERVISORS, MISSING_TEXT, WORKER_DEFAULTS
 from covercost.functions import normalize as N
 from covercost.operators.joins import Dim, first_by, last_by
 
-# Worker attributes and their defaults when missing, null or blank.
-WORKER_DEFAULTS = (
-    ("servicio", ""), ("cat_empleado", ""), ("cod_crown", ""), ("centro_preferente", ""),
-    ("nombre_centro_preferente", ""), ("nombre_jefe_ope", ""), ("coste_hora", 0.0),
-    ("cod_reg_convenio", ""), ("porcen_contrato", ""), ("cod_empresa", ""),
-)
-
-
 def centros_clean(centros: DataFrame, excluded=DEFAULT_EXCLUDED_SUPERVISORS) -> DataFrame:
     """Open centres with a code, codes normalised, excluded supervisors removed.
 

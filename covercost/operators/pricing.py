@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covercost.constants import SS_FACTOR
+from covercost.constants import ACCOUNT_COLUMNS, EXPORT_FIELDS, NIGHT_COLUMN, SS_FACTOR, TOTAL_COLUMN
 from covercost.functions import normalize as N
 from covercost.operators.enrich import FACT_COLUMNS
 from covercost.operators.joins import null_if_blank
@@ -14,22 +14,6 @@ from covercost.operators.quality import valid_incidents
 
 SCOPE = ("session_jefe", "imputacion_nomina")
 
-# Exported columns (name, source column), in order.
-EXPORT_FIELDS = (
-    ("Jefe de Operaciones", "nombre_jefe_ope"), ("Mes imputació nómina", "imputacion_nomina"),
-    ("Facturable", "facturable"), ("Servicio", "servicio"), ("Motivo", "motivo"),
-    ("Trabajador", "trabajador"), ("Empresa Destino", "empresa_destino"),
-    ("Código Crown Destino", "codigo_crown_destino"), ("Centro Destino", "nombre_crown_destino"),
-    ("Categoria", "categoria"), ("Cuantía", "incidencia_horas"), ("Precio", "incidencia_precio"),
-    ("Cuantía nocturnidad", "nocturnidad_horas"), ("Precio_nocturnidad", "precio_nocturnidad"),
-    ("Horas traslado", "traslados_total"), ("coste_hora", "coste_hora"),
-    ("Empresa Origen", "centro_preferente"), ("Código Crown Origen", "codigo_crown_origen"),
-    ("Fecha", "fecha"), ("Observaciones", "observaciones"), ("cod_reg_convenio", "cod_reg_convenio"),
-    ("porcen_contrato", "porcen_contrato"), ("cod_empresa", "cod_empresa"),
-    ("nombre_centro", "nombre_centro"),
-)
-ACCOUNT_COLUMNS = (("73_plus_sustitucion", "73"), ("72_incentivos", "72"), ("70_71_festivos", "70_71"))
-
 # Exact decimal types for scope totals (sums must not depend on row order).
 D_QTY = "decimal(18,4)"
 D_RATE = "decimal(18,6)"
@@ -94,9 +78,9 @@ def export_costed(facts: DataFrame, m: Masters, factor: float = SS_FACTOR) -> Da
     v = account_split(v)
     cols = [F.col(src).alias(name) for name, src in EXPORT_FIELDS]
     cols += [F.col(name) for name, _ in ACCOUNT_COLUMNS]
-    cols.append((F.col("precio_nocturnidad") * F.col("nocturnidad_horas")).alias("74_plus_nocturnidad"))
+    cols.append((F.col("precio_nocturnidad") * F.col("nocturnidad_horas")).alias(NIGHT_COLUMN))
     cols.append(coste_total(F.col("incidencia_horas"), F.col("incidencia_precio"), F.col("nocturnidad_horas"),
-                            F.col("precio_nocturnidad"), F.col("traslados_total"), factor).alias("Coste_total"))
+                            F.col("precio_nocturnidad"), F.col("traslados_total"), factor).alias(TOTAL_COLUMN))
     return v.select("session_jefe", *cols)
 
 

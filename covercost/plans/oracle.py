@@ -8,7 +8,9 @@ first; ``regexp_replace`` needs the 'g' flag to replace every match.
 
 from __future__ import annotations
 
-from covercost.constants import (DEFAULT_COMPANIES, DEFAULT_EXCLUDED_SUPERVISORS, FACTURABLE_VALUES,
+from covercost.constants import (ACCOUNT_COLUMNS, DEFAULT_COMPANIES, DEFAULT_EXCLUDED_SUPERVISORS,
+                                 EDIT_HIDDEN, EXPORT_FIELDS, FACTURABLE_VALUES, NIGHT_COLUMN, TOTAL_COLUMN,
+                                 VIEW_FIELDS, VIEW_NUMBERS, VIEW_TEXT,
                                  MISSING_FIELD_LABELS, MONTHS, MOTIVO_VALUES, REQUIRED_FIELDS, ROWS_PER_PAGE,
                                  SS_FACTOR)
 from covercost.sources.fixtures import MOTIVOS_ROWS
@@ -289,23 +291,13 @@ select f.*, coalesce(a.cuenta_codigo, 'Otros') as cuenta_codigo,
 from rated_valid f left join account_dim a on f.motivo = a.motivo
 left join worker_dim w on f.trabajador = w.nombre_empleado""", "rated_valid", "account_dim", "worker_dim")
 
-_EXPORT = f"""session_jefe,
-  nombre_jefe_ope as {q('Jefe de Operaciones')}, imputacion_nomina as {q('Mes imputació nómina')},
-  facturable as {q('Facturable')}, servicio as {q('Servicio')}, motivo as {q('Motivo')},
-  trabajador as {q('Trabajador')}, empresa_destino as {q('Empresa Destino')},
-  codigo_crown_destino as {q('Código Crown Destino')}, nombre_crown_destino as {q('Centro Destino')},
-  categoria as {q('Categoria')}, incidencia_horas as {q('Cuantía')}, incidencia_precio as {q('Precio')},
-  nocturnidad_horas as {q('Cuantía nocturnidad')}, precio_nocturnidad as {q('Precio_nocturnidad')},
-  traslados_total as {q('Horas traslado')}, coste_hora as {q('coste_hora')},
-  centro_preferente as {q('Empresa Origen')}, codigo_crown_origen as {q('Código Crown Origen')},
-  fecha as {q('Fecha')}, observaciones as {q('Observaciones')}, cod_reg_convenio as {q('cod_reg_convenio')},
-  porcen_contrato as {q('porcen_contrato')}, cod_empresa as {q('cod_empresa')}, nombre_centro as {q('nombre_centro')},
-  case when cuenta_codigo = '73' then amount_ else 0.0 end as {q('73_plus_sustitucion')},
-  case when cuenta_codigo = '72' then amount_ else 0.0 end as {q('72_incentivos')},
-  case when cuenta_codigo = '70_71' then amount_ else 0.0 end as {q('70_71_festivos')},
-  precio_nocturnidad * nocturnidad_horas as {q('74_plus_nocturnidad')},
-  (incidencia_horas * incidencia_precio + nocturnidad_horas * precio_nocturnidad) * cast({SS_FACTOR} as double)
-    + traslados_total as {q('Coste_total')}"""
+_EXPORT = ", ".join(
+    ["session_jefe"]
+    + [f"{src} as {q(name)}" for name, src in EXPORT_FIELDS]
+    + [f"case when cuenta_codigo = '{code}' then amount_ else 0.0 end as {q(name)}" for name, code in ACCOUNT_COLUMNS]
+    + [f"precio_nocturnidad * nocturnidad_horas as {q(NIGHT_COLUMN)}",
+       f"(incidencia_horas * incidencia_precio + nocturnidad_horas * precio_nocturnidad) * cast({SS_FACTOR} as double)"
+       f" + traslados_total as {q(TOTAL_COLUMN)}"])
 
 # -- edits ----------------------------------------------------------------------
 cte("edited", f"""
@@ -526,18 +518,15 @@ def oracle_sql() -> dict[str, str]:
     out["edit_change_flags"] = with_ctes(f"""select incidencia_id, borrar_ as borrar,
         n_trabajador <> '' and n_trabajador <> trabajador as cambia_trabajador,
         borrar_ or {diffs} or (n_trabajador <> '' and n_trabajador <> trabajador) as cambiado from edited""", "edited")
-    view_cols = (
-        ("Trabajador", "trabajador"), ("Facturable", "facturable"), ("Motivo", "motivo"),
-        ("Código Crown Origen", view_text("codigo_crown_origen")), ("Código Crown Destino", view_text("codigo_crown_destino")),
-        ("Empresa Destino", "empresa_destino"), ("Incidencia_horas", z("incidencia_horas")),
-        ("Incidencia_precio", z("incidencia_precio")), ("Nocturnidad_horas", z("nocturnidad_horas")),
-        ("Precio_nocturnidad", z("precio_nocturnidad")), ("Traslados_total", z("traslados_total")),
-        ("Coste hora empresa", z("coste_hora")), ("Fecha", view_text("fecha")), ("Observaciones", view_text("observaciones")),
-        ("Centro preferente", view_text("centro_preferente")), ("Supervisor de operaciones", "nombre_jefe_ope"),
-        ("Categoría", "categoria"), ("Servicio", "servicio"), ("Cod_reg_convenio", "cod_reg_convenio"),
-        ("Nombre Crown Destino", "nombre_crown_destino"))
-    hidden = {"Cod_reg_convenio", "Categoría", "Centro preferente", "Coste hora empresa", "Supervisor de operaciones",
-              "Servicio", "Nombre Crown Destino"}
+    def shown(name: str, src: str) -> str:
+        if name in VIEW_TEXT:
+            return view_text(src)
+        if name in VIEW_NUMBERS:
+            return z(src)
+        return src
+
+    view_cols = [(name, shown(name, src)) for name, src in VIEW_FIELDS]
+    hidden = set(EDIT_HIDDEN)
     view = ", ".join(f"{expr} as {q(name)}" for name, expr in view_cols)
     edit = ", ".join(f"{expr} as {q(name)}" for name, expr in view_cols if name not in hidden)
     out["working_view"] = with_ctes(f"select incidencia_id, {SCOPE}, false as {q('Borrar')}, {view} from rated_facts",

@@ -13,11 +13,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from covercost.constants import NAME_ALIASES
 from covercost.operators.masters import Masters
 from covercost.schemas import SCHEMAS
 
-# Accepted spellings of the worker-name header (lower-cased, trimmed).
-NAME_ALIASES = ("nombre_empleado", "nombre empleado", "nombre")
 
 
 def normalize_headers(df: DataFrame, newline_to_space: bool = False) -> DataFrame:
