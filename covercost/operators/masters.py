@@ -117,6 +117,20 @@ def account_dim(motivos: DataFrame) -> DataFrame:
     return last_by(df, ["motivo"], ["row_idx"]).select("motivo", "cuenta_codigo")
 
 
+def rate_by_pair(workers: DataFrame, tariffs: DataFrame) -> DataFrame:
+    """Night rate of every distinct raw (category, agreement) pair of the workers.
+
+    Incidents copy these two fields from a worker, so pricing them once per
+    pair here spares the per-incident normalisation.
+    """
+    pairs = workers.select(F.col("cat_empleado").alias("categoria"), "cod_reg_convenio").distinct()
+    keyed = (pairs.withColumn("_cat", N.incident_category("categoria"))
+             .withColumn("_conv", N.agreement_code("cod_reg_convenio")))
+    j = keyed.join(tariffs, (F.col("_cat") == tariffs.cat_key) & (F.col("_conv") == tariffs.conv_key), "left")
+    # blank keys never match a rate row (rate rows have non-blank keys)
+    return j.select("categoria", "cod_reg_convenio", F.coalesce(F.col("tarifa"), F.lit(0.0)).alias("tarifa"))
+
+
 class Masters:
     """The four master tables and the dimensions derived from them.
 
@@ -167,6 +181,10 @@ class Masters:
     def tariff_dim(self) -> Dim:
         return Dim(tariff_dim(self.tarifas), "tariff_dim", self.max_rows)
 
+    @cached_property
+    def rate_by_pair(self) -> Dim:
+        return Dim(rate_by_pair(self.worker_dim.df, self.tariff_dim.side()), "rate_by_pair", self.max_rows)
+
     @cached_property
     def account_dim(self) -> Dim:
         return Dim(account_dim(self.motivos), "account_dim", self.max_rows)

@@ -22,13 +22,24 @@ D_FACTOR = "decimal(5,4)"
 
 
 def with_night_rate(facts: DataFrame, m: Masters, out: str = "precio_nocturnidad") -> DataFrame:
-    """Night rate for each incident by (category, agreement); blank key or no match -> 0.0."""
+    """Night rate for each incident by (category, agreement); blank key or no match -> 0.0.
+
+    Pairs copied from a worker are priced by a hash lookup on the raw pair
+    (normalised once per pair in ``Masters.rate_by_pair``); any other pair
+    is normalised per row and looked up in the rate dimension.
+    """
+    p = m.rate_by_pair.side().select(F.col("categoria").alias("_p_cat"), F.col("cod_reg_convenio").alias("_p_conv"),
+                                     F.col("tarifa").alias("_p_rate"), F.lit(True).alias("_p_hit"))
+    j = facts.join(p, F.col("categoria").eqNullSafe(F.col("_p_cat"))
+                   & F.col("cod_reg_convenio").eqNullSafe(F.col("_p_conv")), "left")
+    miss = F.col("_p_hit").isNull()
+    j = (j.withColumn("_cat", F.when(miss, null_if_blank(N.incident_category("categoria"))))
+         .withColumn("_conv", F.when(miss, null_if_blank(N.agreement_code("cod_reg_convenio")))))
     t = m.tariff_dim.side()
-    j = (facts.withColumn("_cat", null_if_blank(N.incident_category("categoria")))
-         .withColumn("_conv", null_if_blank(N.agreement_code("cod_reg_convenio"))))
     j = j.join(t, (F.col("_cat") == t.cat_key) & (F.col("_conv") == t.conv_key), "left")
-    return j.withColumn(out, F.coalesce(F.col("tarifa"), F.lit(0.0))).drop("_cat", "_conv", "cat_key",
-                                                                           "conv_key", "tarifa")
+    rate = F.when(miss, F.coalesce(F.col("tarifa"), F.lit(0.0))).otherwise(F.col("_p_rate"))
+    return j.withColumn(out, rate).drop("_p_cat", "_p_conv", "_p_rate", "_p_hit", "_cat", "_conv", "cat_key",
+                                        "conv_key", "tarifa")
 
 
 def with_account(facts: DataFrame, m: Masters, motivo_col: str = "motivo") -> DataFrame:

@@ -76,3 +76,12 @@ def test_account_74_goes_nowhere(spark, tiny):
     r = P.export_costed(enrich(raw, tiny), tiny).first()
     assert (r["73_plus_sustitucion"], r["72_incentivos"], r["70_71_festivos"]) == (0.0, 0.0, 0.0)
     assert r["Coste_total"] > 0
+
+
+def test_rate_for_pair_outside_workers(spark, tiny):
+    # a pair no worker carries is still priced (per-row normalisation path)
+    df = spark.createDataFrame([("x", " h  asl", "99100165012001.0"), ("y", "h ASL", "9.9100165012001E13"),
+                                ("z", "g cocina", "99100165012003")],
+                               "incidencia_id string, categoria string, cod_reg_convenio string")
+    r = {row["incidencia_id"]: row["precio_nocturnidad"] for row in P.with_night_rate(df, tiny).collect()}
+    assert r == {"x": 0.0, "y": 3.0, "z": 4.0}
