@@ -25,6 +25,17 @@ class Dim:
         self.max_rows = max_rows if max_rows is not None else max_broadcast_rows(df.sparkSession)
         self.df = df.persist(StorageLevel.MEMORY_AND_DISK)
         self.rows = self.df.count()
+        if not self.broadcastable:
+            # A dimension deduplicated by key is cached hash-partitioned on it;
+            # a join would then shuffle only the fact side, and adaptive
+            # execution can split a hot key only between two shuffles.  Cache
+            # a copy without key partitioning so both sides are shuffled and a
+            # key holding a large share of the facts is split over many tasks.
+            spread = self.df.repartition(max(self.df.rdd.getNumPartitions(), 1))
+            spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
+            spread.count()
+            self.df.unpersist()
+            self.df = spread
 
     @property
     def broadcastable(self) -> bool:

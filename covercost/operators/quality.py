@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from covercost.constants import (DEFAULT_COMPANIES, FACTURABLE_VALUES, MISSING_FIELD_LABELS, MONTHS,
                                  MOTIVO_VALUES, REQUIRED_FIELDS)
 from covercost.functions import normalize as N
+from covercost.operators.joins import sized_side
 
 SCOPE = ("session_jefe", "imputacion_nomina")
 
@@ -64,10 +65,10 @@ def domain_violations(facts: DataFrame, worker_names: DataFrame, centre_codes: D
     Value rules are column predicates; membership of the worker and the
     destination centre is checked by joins against the dimensions.
     """
-    f = (facts.join(worker_names.select(F.col("nombre_empleado").alias("_wn"), F.lit(True).alias("_wk")),
-                    F.col("trabajador") == F.col("_wn"), "left")
-         .join(centre_codes.select(F.col("codigo_centro").alias("_cc"), F.lit(True).alias("_ck")),
-               F.col("codigo_crown_destino") == F.col("_cc"), "left"))
+    names = sized_side(worker_names.select(F.col("nombre_empleado").alias("_wn"), F.lit(True).alias("_wk")))
+    codes = sized_side(centre_codes.select(F.col("codigo_centro").alias("_cc"), F.lit(True).alias("_ck")))
+    f = (facts.join(names, F.col("trabajador") == F.col("_wn"), "left")
+         .join(codes, F.col("codigo_crown_destino") == F.col("_cc"), "left"))
     rules = [
         (~F.coalesce(F.col("facturable"), F.lit("")).isin(*FACTURABLE_VALUES), "facturable_fuera_de_dominio"),
         (~N.is_blank("motivo") & ~F.col("motivo").isin(*MOTIVO_VALUES), "motivo_fuera_de_dominio"),

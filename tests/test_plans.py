@@ -66,3 +66,29 @@ def test_summary_single_shuffle(spark, tiny):
 def test_dim_counts_once(spark, tiny):
     d = Dim(tiny.account_dim.df, "x", max_rows=10)
     assert d.rows == 4 and d.broadcastable
+
+
+def test_hot_worker_is_split_when_dimension_is_shuffled(spark, tiny):
+    """Above the broadcast bound, a worker holding most incidents is split by AQE."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        m = Masters(spark, tiny.centros, tiny.trabajadores, tiny.tarifas, tiny.motivos,
+                    excluded_supervisors=("EXCLUDED",), max_broadcast_rows=0)
+        rows = [fact(i, worker="PEPE" if i % 20 else "MARIA") for i in range(4000)]
+        df = enrich(spark.createDataFrame(rows, FACT_SCHEMA).repartition(8), m)
+        got = df.groupBy("trabajador").count().collect()
+        assert {r["trabajador"]: r["count"] for r in got} == {"PEPE": 3800, "MARIA": 200}
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in final
+        assert "SortMergeJoin(skew=true)" in final
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
