@@ -55,7 +55,7 @@ def invalid_reasons(facts: DataFrame, first_n: int = 3, order: str = "incidencia
               .select(*SCOPE, "incidencia_id", F.col("posicion").cast("bigint").alias("posicion"),
                       missing_labels().alias("problemas")))
     counts = facts.groupBy(*SCOPE).agg(F.greatest(F.count(F.lit(1)) - first_n, F.lit(0)).alias("n_mas"))
-    return firsts.join(counts, list(SCOPE))
+    return firsts.join(sized_side(counts), list(SCOPE))
 
 
 def domain_violations(facts: DataFrame, worker_names: DataFrame, centre_codes: DataFrame,
