@@ -84,8 +84,8 @@ def re_enrich(facts: DataFrame, m: Masters, when_col: str) -> DataFrame:
     origin = F.col("_w_centro_preferente")
     dest = F.when(hit, F.when(~N.is_blank("codigo_crown_destino"), F.col("codigo_crown_destino"))
                   .otherwise(origin)).otherwise(F.col("codigo_crown_destino"))
-    j = j.withColumn("_hit", hit).withColumn("_dest", dest)
-    j = j.join(_centre_name_side(m), F.col("_dest") == F.col("_cf_code"), "left")
+    j = j.withColumn("_re_hit", hit).withColumn("_re_dest", dest)
+    j = j.join(_centre_name_side(m), F.col("_re_dest") == F.col("_cf_code"), "left")
     new = {
         "trabajador": F.col("_w_nombre_empleado"),
         "categoria": F.col("_w_cat_empleado"),
@@ -94,10 +94,10 @@ def re_enrich(facts: DataFrame, m: Masters, when_col: str) -> DataFrame:
         "codigo_crown_origen": origin,
         "cod_reg_convenio": F.col("_w_cod_reg_convenio"),
         "nombre_jefe_ope": F.col("_w_nombre_jefe_ope"),
-        "codigo_crown_destino": F.col("_dest"),
+        "codigo_crown_destino": F.col("_re_dest"),
         "nombre_crown_destino": F.coalesce(F.col("_cf_desc"), F.lit("")),
         "coste_hora": F.col("_w_coste_hora"),
     }
     keep = [c for c in facts.columns]
-    return j.select(*[F.when(F.col("_hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c)
+    return j.select(*[F.when(F.col("_re_hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c)
                       for c in keep])
