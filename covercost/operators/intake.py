@@ -11,7 +11,7 @@ New incidents carry blank user fields; enrichment fills the worker fields.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covercost.constants import MAX_DESTINATIONS
@@ -90,5 +90,4 @@ def clear_scope(facts: DataFrame, session_jefe: str, imputacion_nomina: str) ->
     return facts.filter(~F.coalesce(hit, F.lit(False)))
 
 
-__all__ = ["intake_by_centre", "intake_by_worker", "intake_replicate", "append_intake", "clear_scope",
-           "Window"]
+__all__ = ["intake_by_centre", "intake_by_worker", "intake_replicate", "append_intake", "clear_scope"]

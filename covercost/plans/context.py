@@ -42,9 +42,21 @@ class Context:
         return fx.requests(self.spark, self.sf_dir)
 
 
+def _fingerprint(sf_dir: str) -> tuple:
+    """Size and modification time of the input files (local folders), so that
+    changed inputs get fresh dimensions, as a content-keyed cache would."""
+    if "://" in sf_dir or not os.path.isdir(sf_dir):
+        return ()
+    out = []
+    for name in sorted(os.listdir(sf_dir)):
+        st = os.stat(os.path.join(sf_dir, name))
+        out.append((name, st.st_size, st.st_mtime_ns))
+    return tuple(out)
+
+
 def context(spark: SparkSession, sf_dir: str) -> Context:
-    """One context per (application, folder): master dimensions are built and counted once."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    """One context per (application, folder, file versions): dimensions are built and counted once."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _fingerprint(sf_dir))
     if key not in _CONTEXTS:
         _CONTEXTS[key] = Context(spark, sf_dir)
     return _CONTEXTS[key]

@@ -1,6 +1,5 @@
 """Physical-plan properties that matter at scale."""
 
-import pytest
 
 from conftest import FACT_SCHEMA, fact
 from covercost.operators import pricing as P

@@ -4,10 +4,8 @@ import datetime as dt
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from covercost.operators import pricing as P
-from covercost.operators import quality as Q
 from covercost.plans.context import context
 from covercost.sources import masters as SM
 from covercost.sources import sinks as S
