@@ -36,6 +36,18 @@ def resolve_name_column(df: DataFrame, target: str = "nombre_empleado") -> DataF
     return df
 
 
+# Columns each master table must have after header normalisation; without
+# them the table is treated as empty.
+REQUIRED = {
+    "centros": ("cod_centro_preferente",),
+    "trabajadores": ("nombre_empleado",),
+    "tarifas": ("descripcion", "cod_convenio", "tarifa_noct"),
+    "motivos": ("motivo", "desc_cuenta"),
+}
+# The rate sheet is read by position: only its first three columns.
+POSITIONAL_COLUMNS = {"tarifas": 3}
+
+
 def has_columns(df: DataFrame, required) -> bool:
     return set(required).issubset(df.columns)
 
@@ -52,6 +64,10 @@ def load_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet")
         df = spark.read.option("header", True).option("multiLine", True).csv(path)
     else:
         df = spark.read.format(fmt).load(path)
+    has_idx = "row_idx" in df.columns
+    if table in POSITIONAL_COLUMNS:
+        data = [c for c in df.columns if c != "row_idx"][:POSITIONAL_COLUMNS[table]]
+        df = df.select(*(["row_idx"] if has_idx else []), *data)
     df = normalize_headers(df, newline_to_space=(table == "trabajadores"))
     if table == "trabajadores":
         df = resolve_name_column(df)
@@ -59,7 +75,9 @@ def load_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet")
         df = df.withColumnRenamed("Descripción", "descripcion")
     if table == "motivos" and "Motivo" in df.columns:
         df = df.withColumnRenamed("Motivo", "motivo")
-    if "row_idx" not in df.columns:
+    if not has_columns(df, REQUIRED.get(table, ())):
+        return empty_like(spark, table)
+    if not has_idx:
         # Source order for first/last-wins rules; stable for a given file listing.
         df = df.withColumn("row_idx", F.monotonically_increasing_id())
     return df

@@ -52,3 +52,28 @@ def test_header_normalize_and_missing_table(spark):
     assert out.columns == ["nombre_empleado", "coste hora"]
     empty = SM.load_table(spark, "/nonexistent/centros", "centros")
     assert empty.count() == 0 and "cod_centro_preferente" in empty.columns
+
+
+def test_load_masters_from_csv(spark):
+    d = tempfile.mkdtemp(prefix="covercost-masters-", dir="/tmp")
+    files = {
+        "centros": "cod_centro_preferente,desc_centro_preferente,nombre_jefe_ope\n101.0,Uno,Ana\n102,Dos,\n",
+        "trabajadores": " Nombre ,centro_preferente,cat_empleado,cod_reg_convenio,coste_hora\n"
+                        "pepe,101,h ASL,99100165012001,5\n",
+        # rate sheet: only the first three columns count; a fourth is ignored
+        "tarifas": "Descripción,cod_convenio,tarifa_noct,extra\nASL,99100165012001.0,3,x\n",
+        "motivos": "Motivo,desc_cuenta\nAbsentismo,73 Plus\n",
+    }
+    for name, text in files.items():
+        os.makedirs(os.path.join(d, name))
+        with open(os.path.join(d, name, "part.csv"), "w") as fh:
+            fh.write(text)
+    m = SM.load_masters(spark, d, fmt="csv", excluded_supervisors=())
+    assert [tuple(r) for r in m.tariff_dim.df.collect()] == [("ASL", "99100165012001", 3.0)]
+    w = m.worker_dim.df.first()
+    assert (w["nombre_empleado"], w["centro_preferente"], w["nombre_jefe_ope"]) == ("PEPE", "101", "Ana")
+    # a rate sheet whose first three columns lack a required name is empty
+    os.makedirs(os.path.join(d, "bad"))
+    with open(os.path.join(d, "bad", "part.csv"), "w") as fh:
+        fh.write("x,Descripción,cod_convenio,tarifa_noct\n1,ASL,1,2\n")
+    assert SM.load_table(spark, os.path.join(d, "bad"), "tarifas", "csv").count() == 0
