@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from covercost.constants import MAX_DESTINATIONS
 from covercost.functions import normalize as N
 from covercost.operators.enrich import FACT_COLUMNS, enrich
-from covercost.operators.joins import number_within, sized_side
+from covercost.operators.joins import number_within
 from covercost.operators.masters import Masters, employees_by_centre
 
 SCOPE = ("session_jefe", "imputacion_nomina")
@@ -79,7 +79,9 @@ def append_intake(facts: DataFrame, new: DataFrame) -> DataFrame:
     old = number_within(facts.select(*FACT_COLUMNS), list(SCOPE), ["incidencia_id"])
     counts = facts.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("_base"))
     fresh = number_within(new, list(SCOPE), ["request_id", "_orden"], name="_local")
-    fresh = fresh.join(sized_side(counts), list(SCOPE), "left")
+    # One row per scope: adaptive execution broadcasts it once its (tiny)
+    # aggregate has run; a count up front would cost a pass over the facts.
+    fresh = fresh.join(counts, list(SCOPE), "left")
     fresh = fresh.withColumn("seq", (F.coalesce(F.col("_base"), F.lit(0)) + F.col("_local")).cast("bigint"))
     return old.unionByName(fresh.select(*FACT_COLUMNS, "seq"))
 

@@ -181,6 +181,11 @@ class Masters:
     def tariff_dim(self) -> Dim:
         return Dim(tariff_dim(self.tarifas), "tariff_dim", self.max_rows)
 
+    @cached_property
+    def centre_codes(self) -> Dim:
+        """Distinct codes of the open centres (membership checks)."""
+        return Dim(self.centros_clean.select("codigo_centro").dropna().distinct(), "centre_codes", self.max_rows)
+
     @cached_property
     def rate_by_pair(self) -> Dim:
         return Dim(rate_by_pair(self.worker_dim.df, self.tariff_dim.side()), "rate_by_pair", self.max_rows)

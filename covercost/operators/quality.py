@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from covercost.constants import (DEFAULT_COMPANIES, FACTURABLE_VALUES, MISSING_FIELD_LABELS, MONTHS,
                                  MOTIVO_VALUES, REQUIRED_FIELDS)
 from covercost.functions import normalize as N
-from covercost.operators.joins import sized_side
+from covercost.operators.joins import Dim, sized_side
 
 SCOPE = ("session_jefe", "imputacion_nomina")
 
@@ -55,18 +55,27 @@ def invalid_reasons(facts: DataFrame, first_n: int = 3, order: str = "incidencia
               .select(*SCOPE, "incidencia_id", F.col("posicion").cast("bigint").alias("posicion"),
                       missing_labels().alias("problemas")))
     counts = facts.groupBy(*SCOPE).agg(F.greatest(F.count(F.lit(1)) - first_n, F.lit(0)).alias("n_mas"))
-    return firsts.join(sized_side(counts), list(SCOPE))
+    # Both sides hold a few rows per scope; adaptive execution broadcasts the
+    # smaller one at run time (an up-front count would re-read the facts).
+    return firsts.join(counts, list(SCOPE))
 
 
-def domain_violations(facts: DataFrame, worker_names: DataFrame, centre_codes: DataFrame,
+def _membership_side(d, col: str, alias: str, flag: str) -> DataFrame:
+    """Key list with a marker column; a counted ``Dim`` decides broadcast itself,
+    a plain DataFrame gets a bounded size check."""
+    df = d.side() if isinstance(d, Dim) else sized_side(d)
+    return df.select(F.col(col).alias(alias), F.lit(True).alias(flag))
+
+
+def domain_violations(facts: DataFrame, worker_names, centre_codes,
                       companies=DEFAULT_COMPANIES) -> DataFrame:
     """One row per (incident, broken rule).
 
     Value rules are column predicates; membership of the worker and the
     destination centre is checked by joins against the dimensions.
     """
-    names = sized_side(worker_names.select(F.col("nombre_empleado").alias("_wn"), F.lit(True).alias("_wk")))
-    codes = sized_side(centre_codes.select(F.col("codigo_centro").alias("_cc"), F.lit(True).alias("_ck")))
+    names = _membership_side(worker_names, "nombre_empleado", "_wn", "_wk")
+    codes = _membership_side(centre_codes, "codigo_centro", "_cc", "_ck")
     f = (facts.join(names, F.col("trabajador") == F.col("_wn"), "left")
          .join(codes, F.col("codigo_crown_destino") == F.col("_cc"), "left"))
     rules = [

@@ -207,8 +207,7 @@ def _edited_facts(spark, d):
 
 def domain_violations(spark, d):
     m = context(spark, d).masters
-    codes = m.centros_clean.select("codigo_centro").dropna().distinct()
-    return Q.domain_violations(_edited_facts(spark, d), m.worker_dim.df.select("nombre_empleado"), codes)
+    return Q.domain_violations(_edited_facts(spark, d), m.worker_dim, m.centre_codes)
 
 
 def parse_fecha(spark, d):
