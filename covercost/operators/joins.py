@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covercost.session import ensure_checkpoint_dir, max_broadcast_rows
+from covercost.session import ensure_checkpoint_dir, max_broadcast_rows, num_partitions, parallelism
 
 
 class Dim:
@@ -31,7 +31,7 @@ class Dim:
             # execution can split a hot key only between two shuffles.  Cache
             # a copy without key partitioning so both sides are shuffled and a
             # key holding a large share of the facts is split over many tasks.
-            spread = self.df.repartition(max(self.df.rdd.getNumPartitions(), 1))
+            spread = self.df.repartition(max(num_partitions(self.df, 1) or 1, 1))
             spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
             spread.count()
             self.df.unpersist()
@@ -123,8 +123,9 @@ def ensure_parallelism(df: DataFrame, *keys: str, min_partitions: int | None = N
     whole pipeline on a single core.
     """
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    target = min_partitions or parallelism(spark)
+    current = num_partitions(df)
+    if current is not None and current < target:
         # Hash on a key: deterministic on retry without a pre-sort.
         return df.repartition(target, *keys) if keys else df.repartition(target)
     return df

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from covercost.operators.enrich import enrich
 from covercost.operators.masters import Masters
+from covercost.session import app_id
 from covercost.sources import fixtures as fx
 
 _CONTEXTS: dict[tuple[str, str], "Context"] = {}
@@ -56,7 +57,7 @@ def _fingerprint(sf_dir: str) -> tuple:
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
     """One context per (application, folder, file versions): dimensions are built and counted once."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _fingerprint(sf_dir))
+    key = (app_id(spark), os.path.abspath(sf_dir), _fingerprint(sf_dir))
     if key not in _CONTEXTS:
         _CONTEXTS[key] = Context(spark, sf_dir)
     return _CONTEXTS[key]

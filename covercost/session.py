@@ -47,18 +47,46 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` must name shared storage; it is used
     as given.  Only a local-mode session without one gets a scratch folder.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote (Connect) sessions expose only the conf
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+        if sc is not None:
+            sc.setCheckpointDir(conf_dir)
+            return sc.getCheckpointDir()
+        return conf_dir
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="covercost-ckpt-", dir="/tmp"))
-    return sc.getCheckpointDir()
+    local_dir = tempfile.mkdtemp(prefix="covercost-ckpt-", dir="/tmp")
+    if sc is not None:
+        sc.setCheckpointDir(local_dir)
+        return sc.getCheckpointDir()
+    spark.conf.set("spark.checkpoint.dir", local_dir)
+    return local_dir
+
+
+def app_id(spark: SparkSession) -> str:
+    return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
+def num_partitions(df, default: int | None = None) -> int | None:
+    """Partition count of a DataFrame's plan (None when the session cannot tell)."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:
+        return default
+
+
+def parallelism(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
 
 
 def max_broadcast_rows(spark: SparkSession) -> int:
