@@ -20,11 +20,21 @@ class Dim:
     size allows and splits skewed keys.
     """
 
+    # Lets adaptive execution coalesce (and split skew) inside the cached
+    # plan; a dimension cache has no partitioning worth preserving.
+    _CACHED_PLAN_CONF = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+
     def __init__(self, df: DataFrame, name: str, max_rows: int | None = None):
         self.name = name
-        self.max_rows = max_rows if max_rows is not None else max_broadcast_rows(df.sparkSession)
-        self.df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self.rows = self.df.count()
+        spark = df.sparkSession
+        self.max_rows = max_rows if max_rows is not None else max_broadcast_rows(spark)
+        previous = spark.conf.get(self._CACHED_PLAN_CONF)
+        spark.conf.set(self._CACHED_PLAN_CONF, "true")
+        try:
+            self.df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self.rows = self.df.count()
+        finally:
+            spark.conf.set(self._CACHED_PLAN_CONF, previous)
         if not self.broadcastable:
             # A dimension deduplicated by key is cached hash-partitioned on it;
             # a join would then shuffle only the fact side, and adaptive
