@@ -53,3 +53,10 @@ def test_pickers(tiny):
     assert labels == sorted(labels) and "nan - JUAN" in labels and "101 - nan" in labels
     assert rows(M.workers_per_centre(tiny.workers_enriched), "codigo_centro", "n_trabajadores") == [
         ("101", 1), ("102", 2)]
+
+
+def test_t18_missing_supervisor_column(spark, tiny):
+    from covercost.operators import masters as M
+    no_sup = tiny.centros.drop("nombre_jefe_ope")
+    clean = M.centros_clean(no_sup, excluded=("EXCLUDED",))
+    assert clean.count() == 4 and dict(clean.dtypes)["nombre_jefe_ope"] == "string"
