@@ -208,7 +208,7 @@ def centre_codes(clean: DataFrame) -> DataFrame:
 
 def centre_options(clean: DataFrame) -> DataFrame:
     """Blank option followed by the centre codes."""
-    blank = clean.sparkSession.createDataFrame([("",)], "option string")
+    blank = clean.sparkSession.range(1).select(F.lit("").alias("option"))
     codes = centre_codes(clean).select(F.col("codigo_centro").alias("option"))
     return blank.unionByName(codes)
 

@@ -96,7 +96,10 @@ MOTIVOS_ROWS = (
 
 
 def motivos(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    return spark.createDataFrame(list(MOTIVOS_ROWS), "row_idx int, motivo string, desc_cuenta string")
+    """The reason list as a literal table built in the JVM (no Python worker)."""
+    rows = [F.struct(F.lit(i).cast("int").alias("row_idx"), F.lit(m).cast("string").alias("motivo"),
+                     F.lit(d).cast("string").alias("desc_cuenta")) for i, m, d in MOTIVOS_ROWS]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def incidencias(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,8 +52,13 @@ def has_columns(df: DataFrame, required) -> bool:
     return set(required).issubset(df.columns)
 
 
+def empty_of(spark: SparkSession, schema) -> DataFrame:
+    """An empty table with ``schema`` (StructType), built without Python rows."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def empty_like(spark: SparkSession, table: str) -> DataFrame:
-    return spark.createDataFrame([], SCHEMAS[table])
+    return empty_of(spark, SCHEMAS[table])
 
 
 def load_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> DataFrame:
@@ -108,7 +113,9 @@ def file_manifest(spark: SparkSession, path_glob: str, previous: DataFrame | Non
     cur = (spark.read.format("binaryFile").load(path_glob)
            .select("path", "length", F.md5("content").alias("md5")))
     if previous is None:
-        previous = spark.createDataFrame([], "path string, length bigint, md5 string")
+        previous = spark.range(0).select(F.lit(None).cast("string").alias("path"),
+                                         F.lit(None).cast("bigint").alias("length"),
+                                         F.lit(None).cast("string").alias("md5"))
     p = previous.select(F.col("path").alias("_p_path"), F.col("md5").alias("_p_md5"))
     j = cur.join(p, cur.path == p._p_path, "full_outer")
     estado = (F.when(F.col("path").isNull(), "removed").when(F.col("_p_path").isNull(), "new")
