@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from covercost.llm import quality_rules
+from covercost.llm import minhash_dedup, quality_rules
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
 }
 ORACLES = {
     "op3_quality_rules": quality_rules.oracle(),
+    "op7_minhash_dedup": minhash_dedup.oracle(),
 }
