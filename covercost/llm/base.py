@@ -45,7 +45,8 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array and the n + 1 offsets into them; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string())
+    if not pa.types.is_large_binary(texts.type):
+        texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
     _, offsets, data = texts.buffers()
