@@ -281,7 +281,7 @@ def encode_decode(spark: SparkSession, docs: DataFrame, path: str | None = None,
                 for n, i, d in own.texts(part.column(1)):
                     rows.append((n, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()))
                     if ids:
-                        coded.append((list(map(int, i.tobytes().split())), d.tobytes()))
+                        coded.append((np.fromstring(i.tobytes(), np.int32, sep=" "), d.tobytes()))
                 cols = [part.column(0).cast(pa.int64()), pa.array([n for n, _, _ in rows], pa.int64()),
                         pa.array([i for _, i, _ in rows], pa.string()), pa.array([d for _, _, d in rows], pa.string())]
                 if ids:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covercost.llm.base import NOT_ALNUM, counts_per, mix, slices, stage, stream, table, text_bytes, word_hashes
+from covercost.llm.base import NOT_ALNUM, counts_per, mix, slices, stream, table, text_bytes, word_hashes
 
 #: Words of an n-gram, and how many neighbouring n-grams share a seed at least.
 SEED, WINDOW = 3, 4
@@ -169,55 +169,72 @@ def candidates(doc, at, bounds, item, place, lengths):
 FOUND = "doc_id long, item_id long, score double, first_char long, end_char long"
 
 
+def aligned(texts: pa.Array, model) -> list[tuple[int, int, float, int, int]]:
+    """(row, item index, share of the item's own score, first and end code point) of each item in each text, at its best copy."""
+    keys, places, _, items = model
+    distinct, first = np.unique(keys, return_index=True)
+    each = np.diff(np.append(first, len(keys)))
+    lengths = np.array([len(w) for w in items])
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    for lo, words, bounds, grams, doc, at, begins, ends in tokens(texts):
+        k = lookup(distinct, grams)
+        hit = np.flatnonzero(k >= 0)
+        times = each[k[hit]]
+        which = np.repeat(first[k[hit]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        hit = np.repeat(hit, times)
+        d, i, a, b = candidates(doc[hit], at[hit], bounds, places[which, 0], places[which, 1], lengths)
+        order = np.argsort(b - a, kind="stable")
+        while len(order):
+            take = 1
+            while take < len(order) and (take + 1) * (b - a)[order[take]] <= BATCH_CELLS:
+                take += 1
+            now, order = order[:take], order[take:]
+            for c, (score, s, e) in zip(now, align([items[x] for x in i[now]], [words[a[x]:b[x]] for x in now]), strict=True):
+                share, pair = score / (MATCH * lengths[i[c]]), (lo + int(d[c]), int(i[c]))
+                if share >= LEAST_SCORE and share > best.get(pair, (0.0,))[0]:
+                    best[pair] = (share, int(begins[a[c] + s]), int(ends[a[c] + e - 1]))
+    return [(*pair, *x) for pair, x in best.items()]
+
+
+def models(spark: SparkSession, docs: DataFrame, benchmark: DataFrame):
+    """A broadcast (seeds, their places, item ids, item words) for each chunk of the benchmark."""
+    for items in chunks(benchmark):
+        yield spark.sparkContext.broadcast((*seeds(items, docs), [i for i, _ in items], [w for _, w in items]))
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that align: doc_id, item_id, score (share of the item's own), and the best copy's code points."""
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    found = None
-    for items in chunks(benchmark):
-        keys, places = seeds(items, docs)
-        shared = spark.sparkContext.broadcast((keys, places, [i for i, _ in items], [w for _, w in items]))
-
-        def search(batches, shared=shared):
-            keys, places, ids, texts = shared.value
-            distinct, first = np.unique(keys, return_index=True)
-            each = np.diff(np.append(first, len(keys)))
-            lengths = np.array([len(w) for w in texts])
-            for batch in batches:
-                for lo, words, bounds, grams, doc, at, begins, ends in tokens(batch.column(0)):
-                    k = lookup(distinct, grams)
-                    hit = np.flatnonzero(k >= 0)
-                    times = each[k[hit]]
-                    which = np.repeat(first[k[hit]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    hit = np.repeat(hit, times)
-                    d, i, a, b = candidates(doc[hit], at[hit], bounds, places[which, 0], places[which, 1], lengths)
-                    order = np.argsort(b - a, kind="stable")
-                    best: dict[tuple[int, int], tuple] = {}
-                    while len(order):
-                        take = 1
-                        while take < len(order) and (take + 1) * (b - a)[order[take]] <= BATCH_CELLS:
-                            take += 1
-                        now, order = order[:take], order[take:]
-                        for c, (score, s, e) in zip(now, align([texts[x] for x in i[now]], [words[a[x]:b[x]] for x in now]), strict=True):
-                            share = score / (MATCH * lengths[i[c]])
-                            if share >= LEAST_SCORE and share > best.get((d[c], i[c]), (0,))[0]:
-                                best[d[c], i[c]] = (share, begins[a[c] + s], ends[a[c] + e - 1])
-                    if best:
-                        rows = list(best)
-                        yield pa.record_batch([
-                            batch.column(1).take(pa.array([lo + x for x, _ in rows])), pa.array([ids[y] for _, y in rows], pa.int64()),
-                            *(pa.array([best[r][c] for r in rows], kind) for c, kind in enumerate((pa.float64(), pa.int64(), pa.int64())))],
-                            names=["doc_id", "item_id", "score", "first_char", "end_char"])
-
-        part = docs.mapInArrow(search, FOUND)
-        found = part if found is None else found.union(part)
-    return found if found is not None else spark.createDataFrame([], FOUND)
+    found = spark.createDataFrame([], FOUND)
+    for model in models(spark, docs, benchmark):
 
+        def search(batches, model=model):
+            for batch in batches:
+                rows = aligned(batch.column(0), model.value)
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.record_batch([
+                    batch.column(1).take(pa.array(cols[0], pa.int64())), pa.array([model.value[2][i] for i in cols[1]], pa.int64()),
+                    pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())],
+                    names=["doc_id", "item_id", "score", "first_char", "end_char"])
 
-def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+        found = found.union(docs.mapInArrow(search, FOUND))
+    return found
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item."""
-    bad = stage(spark, contaminated(spark, docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad"), F.col("doc_id") == F.col("_bad"), "left_anti")
+    """The rows of ``docs`` whose text holds no benchmark item; columns stay as they are."""
+    at, kept = docs.columns.index("text"), docs
+    for model in models(spark, docs, benchmark):
+
+        def clean(batches, model=model):
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                keep[[row for row, *_ in aligned(batch.column(at), model.value)]] = False
+                yield batch.filter(pa.array(keep))
+
+        kept = kept.mapInArrow(clean, docs.schema)
+    return kept
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

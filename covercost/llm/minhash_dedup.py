@@ -283,6 +283,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return j.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their group; of rows with the same id and text one stays (null ids all stay)."""
+    kept = stage(spark, near_duplicates(spark, docs).where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")))
+    if kept.where("_rows > 1 and _kept is not null").isEmpty():
+        return out.select(docs.columns)
+    alone = F.when(F.col("_kept").isNull(), F.monotonically_increasing_id())
+    return out.withColumn("_alone", alone).dropDuplicates(["_kept", "text", "_alone"]).select(docs.columns)
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from covercost.llm import minhash_dedup, quality_rules
+from covercost.llm import byte_bpe, decontamination, minhash_dedup, pii, quality_rules
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_pii": pii.op4_pii,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
+    "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLES = {
     "op3_quality_rules": quality_rules.oracle(),
