@@ -179,6 +179,8 @@ def aligned(texts: pa.Array, model) -> list[tuple[int, int, float, int, int]]:
     for lo, words, bounds, grams, doc, at, begins, ends in tokens(texts):
         k = lookup(distinct, grams)
         hit = np.flatnonzero(k >= 0)
+        if not len(hit):
+            continue
         times = each[k[hit]]
         which = np.repeat(first[k[hit]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         hit = np.repeat(hit, times)
@@ -229,7 +231,7 @@ def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFr
         def clean(batches, model=model):
             for batch in batches:
                 keep = np.ones(len(batch), bool)
-                keep[[row for row, *_ in aligned(batch.column(at), model.value)]] = False
+                keep[np.array([row for row, *_ in aligned(batch.column(at), model.value)], np.int64)] = False
                 yield batch.filter(pa.array(keep))
 
         kept = kept.mapInArrow(clean, docs.schema)
