@@ -25,6 +25,7 @@ from functools import cache
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,9 @@ from covercost.llm.base import powers, mix, slices, stream, table, text_bytes
 #: Longest word, in bytes, that the single recursive query takes.
 LONG = 64
 #: Distinct words that one query takes, and that a Python worker remembers between batches.
-CHUNK, REMEMBERED = 100_000, 400_000
+CHUNK, REMEMBERED = 30_000, 250_000
 #: Text bytes of the rows whose words are encoded together.
-BATCH_BYTES = 1 << 25
+BATCH_BYTES = 1 << 23
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: The suffixes that the pattern splits off after a single apostrophe.
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -135,7 +136,7 @@ RECURSIVE = f"""
   final as (select word, max(it) as it from rounds group by word)
   select word, pos, tok from rounds join final using (word, it)"""
 ENCODED = """
-  select word, count(*) as n, string_agg(cast(tok as varchar), ' ' order by pos) as ids, string_agg(v.hex, '' order by pos) as hex
+  select word, string_agg(cast(tok as varchar), ' ' order by pos) as ids, string_agg(v.hex, '' order by pos) as hex
   from done join vocab v on v.id = done.tok group by word"""
 
 
@@ -145,7 +146,7 @@ class Coder:
     def __init__(self, ranks: dict[bytes, int]):
         self.db = duckdb.connect()
         self.db.execute("set threads = 1")
-        self.db.execute("set memory_limit = '400MB'")
+        self.db.execute("set memory_limit = '256MB'")
         self.db.execute("set enable_progress_bar = false")
         left, right, ids = [], [], []
         for token, rank in ranks.items():
@@ -160,7 +161,7 @@ class Coder:
             self.db.execute(f"create table {name} as select * from _t")
             self.db.unregister("_t")
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[int, tuple[int, str, bytes]] = {}
+        self.known: dict[int, bytes] = {}
 
     def _start(self, words: list[bytes]) -> pa.Table:
         sizes = np.array([len(w) for w in words])
@@ -189,8 +190,8 @@ class Coder:
             db.execute("create or replace temp table slow as select * from live where word in (select word from hasty)")
             db.execute(f"create or replace temp table live as select * from every where word not in (select word from hasty) union all ({_leftmost('slow')})")
 
-    def encode(self, words: list[bytes]) -> list[tuple[int, str, bytes]]:
-        """(number of ids, ids as text, decoded bytes) of each distinct non-empty word."""
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Of each distinct non-empty word the ids as text, each with a blank behind it, a zero byte, and the decoded bytes."""
         out: list = [None] * len(words)
         short = [k for k, w in enumerate(words) if len(w) <= LONG]
         rest = [k for k, w in enumerate(words) if len(w) > LONG]
@@ -208,8 +209,8 @@ class Coder:
                 self._long()
                 got = self.db.sql(ENCODED).to_arrow_table()
             self.db.unregister("start")
-            for w, n, ids, raw in zip(*(got.column(c).to_pylist() for c in ("word", "n", "ids", "hex")), strict=True):
-                out[part[w]] = (n, ids, bytes.fromhex(raw))
+            for w, ids, raw in zip(*(got.column(c).to_pylist() for c in ("word", "ids", "hex")), strict=True):
+                out[part[w]] = ids.encode() + b" \0" + bytes.fromhex(raw)
         return out
 
     def texts(self, texts: pa.Array):
@@ -228,7 +229,7 @@ class Coder:
             np.cumsum(_VALUES[raw] * powers(_BASE, len(raw)), out=sums[1:])
             keys = mix((sums[ends] - sums[at]) * powers(_BASE_INVERSE, len(raw) + 1)[at])
             distinct, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            held.append((distinct, at[where] + offsets[lo], ends[where] + offsets[lo], inverse, np.searchsorted(at, own)))
+            held.append((distinct, at[where] + offsets[lo], ends[where] + offsets[lo], inverse.astype(np.int32), np.searchsorted(at, own)))
         if not held:
             return
         keys, where, place = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
@@ -237,8 +238,10 @@ class Coder:
         missing = {x: data[a:b].tobytes() for x, a, b in zip(names, at, ends, strict=True) if x not in self.known}
         fresh = dict(zip(missing, self.encode(list(missing.values())), strict=True))
         known = [fresh[x] if x in fresh else self.known[x] for x in names]
-        sizes = np.array([k[0] for k in known], np.int64)
-        all_ids, all_raw = pa.array([k[1] + " " for k in known], pa.large_string()), pa.array([k[2] for k in known], pa.large_binary())
+        parts = [k.partition(b"\0") for k in known]
+        all_ids, all_raw = pa.array([k[0] for k in parts], pa.large_binary()), pa.array([k[2] for k in parts], pa.large_binary())
+        del parts
+        sizes = pc.count_substring(all_ids, b" ").to_numpy()
         done = 0
         for distinct, _, _, inverse, bounds in held:
             which = place[done:done + len(distinct)][inverse]
