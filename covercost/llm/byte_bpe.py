@@ -46,7 +46,7 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 @cache
-def _classes() -> np.ndarray:
+def code_point_classes() -> np.ndarray:
     """LETTER, NUMBER, SPACE or OTHER of each code point."""
     import regex
 
@@ -64,7 +64,7 @@ def pretokens(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(points)
     if not n:
         return np.zeros(0, np.int64)
-    kind = _classes()[points]
+    kind = code_point_classes()[points]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begin = edge[:n].copy()
