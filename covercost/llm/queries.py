@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
-from covercost.llm import byte_bpe, decontamination, minhash_dedup, pii, quality_rules
+from covercost.llm import (
+    byte_bpe,
+    decontamination,
+    language_id,
+    minhash_dedup,
+    pii,
+    quality_ranking,
+    quality_rules,
+    toxicity,
+    warc,
+)
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_warc_index": warc.op2_warc_index,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_pii": pii.op4_pii,
+    "op6_quality_ranking": quality_ranking.op6_quality_ranking,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
+    "op8_language_id": language_id.op8_language_id,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLES = {
+    "op2_warc_index": warc.oracle(),
     "op3_quality_rules": quality_rules.oracle(),
     "op7_minhash_dedup": minhash_dedup.oracle(),
 }
