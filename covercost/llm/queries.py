@@ -10,6 +10,7 @@ from covercost.llm import (
     pii,
     quality_ranking,
     quality_rules,
+    suffix_dedup,
     toxicity,
     warc,
 )
@@ -19,6 +20,7 @@ QUERIES = {
     "op2_warc_index": warc.op2_warc_index,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_pii": pii.op4_pii,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_quality_ranking": quality_ranking.op6_quality_ranking,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
     "op8_language_id": language_id.op8_language_id,
