@@ -36,6 +36,15 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes up to which a table that has been written and counted is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(staged: DataFrame, row_bytes: int) -> DataFrame:
+    """``staged`` (a written table), marked for broadcast when its counted rows are small; else Spark joins by shuffling."""
+    return F.broadcast(staged) if staged.count() * row_bytes <= BROADCAST_BYTES else staged
+
+
 def bucket_of(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n`` (null id: null)."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

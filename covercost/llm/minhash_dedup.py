@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covercost.llm.base import counts_per, mix, slices, stage, stream, table, text_bytes, word_hashes
+from covercost.llm.base import broadcast_if_small, counts_per, mix, slices, stage, stream, table, text_bytes, word_hashes
 
 SHINGLE = 3
 #: Signature slots, in BANDS bands of ROWS: a pair at similarity 0.85 shares no band with probability 7e-9.
@@ -274,6 +274,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sizes = likely.groupBy("cluster").agg(F.count("*").alias("n"))
     chosen = likely.join(sizes, "cluster").join(classes.select("rep", "sketch", "set_key"), "rep")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    ids = broadcast_if_small(stage(spark, likely.select(F.col("rep").alias("_rep")), "candidates"), 16)
+    texts = texts.join(ids, F.col("rep") == F.col("_rep"), "left_semi")  # few texts have a likely copy: only these are moved
     members = texts.join(chosen.select("rep", "cluster", "n", "sketch", "set_key"), "rep")
     linked = components(spark, verified_links(members, "cluster"))
     root = classes.select("rep", "set_key").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
@@ -285,12 +287,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their group; of rows with the same id and text one stays (null ids all stay)."""
-    kept = stage(spark, near_duplicates(spark, docs).where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")))
-    if kept.where("_rows > 1 and _kept is not null").isEmpty():
-        return out.select(docs.columns)
-    alone = F.when(F.col("_kept").isNull(), F.monotonically_increasing_id())
-    return out.withColumn("_alone", alone).dropDuplicates(["_kept", "text", "_alone"]).select(docs.columns)
+    found = stage(spark, near_duplicates(spark, docs).select(F.col("doc_id").alias("_id"), "kept"), "near-duplicates")
+    # an id goes when none of its rows stands for a group: ids that go are fewer than those that stay
+    gone = stage(spark, found.groupBy("_id").agg(F.max("kept").alias("kept")).where("not kept").select("_id"), "gone")
+    out = docs.join(broadcast_if_small(gone, 16), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    if found.where("_id is not null").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return out
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return out.withColumn("_alone", alone).dropDuplicates(["doc_id", "text", "_alone"]).select(docs.columns)
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covercost.llm.base import stage, table
+from covercost.llm.base import broadcast_if_small, stage, table
 
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -112,6 +112,8 @@ def judge(spark: SparkSession, docs: DataFrame, carry: tuple[str, ...] = ()) ->
     """Every row with its base counts, ``base_failed`` and ``kept``; columns in ``carry`` stay."""
     feats = stage(spark, features(docs, carry), "quality-features")
     lim = limits(sketches(feats)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    # one row per (lang, source): joined without moving the documents while these are few
+    lim = broadcast_if_small(stage(spark, lim, "quality-limits"), 200)
     j = feats.join(lim, feats.lang.eqNullSafe(lim["_lang"]) & feats.source.eqNullSafe(lim["_source"]), "left")
     fine = ~F.col("base_failed")
     for rule, (_, below) in RULES.items():
