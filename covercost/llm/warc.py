@@ -124,7 +124,7 @@ def write(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
     return stage(spark, captures(pages).mapInArrow(archive, PLACE), "warc-places")
 
 
-def build_index(places: DataFrame, folder: str) -> list[tuple[str, str]]:
+def build_index(places: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> list[tuple[str, str]]:
     """Write the index shards; (first key, shard name) of each, sorted."""
 
     def shard(batches):
@@ -145,7 +145,7 @@ def build_index(places: DataFrame, folder: str) -> list[tuple[str, str]]:
                 if out is None:
                     first, out = row[0], system.open_output_stream(f"{top}/{name}.blocks")
                 lines.append(row)
-                if len(lines) == BLOCK_LINES:
+                if len(lines) == block_lines:
                     flush()
         if out is not None:
             flush()
@@ -226,10 +226,10 @@ def look_up(keys: DataFrame, folder: str, shards: list[tuple[str, str]]) -> Data
     return keys.distinct().repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(read, RECORD)
 
 
-def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
+def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Archive ``pages`` (page_id, url, html) under ``folder`` and look every page up again."""
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    shards = build_index(write(spark, pages, folder), folder)
+    shards = build_index(write(spark, pages, folder), folder, block_lines)
     keys = pages.select(F.concat_ws(" ", url_key("url"), F.coalesce(F.col("page_id").cast("long").cast("string"), F.lit("-"))).alias("key"))
     return look_up(keys, folder, shards)
 
