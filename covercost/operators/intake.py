@@ -1,12 +1,15 @@
 """Bulk intake: requests become incident rows.
 
-* by centre: one incident per worker of the origin centre, all to one
+* by centre: one incident per worker of the origin centre and listed
   destination;
 * by worker: one incident per listed destination (1-10), origin is the
   worker's own centre;
-* replicate: ``num_rows`` identical incidents for one worker.
+* replicate: ``num_rows`` identical incidents for one worker and each listed
+  destination.
 
-New incidents carry blank user fields; enrichment fills the worker fields.
+Blank entries of a destination list don't count.  New incidents carry blank
+user fields; enrichment fills the worker fields.  Requests that a rule stops
+are in ``intake_rejected``, with the rule.
 """
 
 from __future__ import annotations
@@ -36,36 +39,54 @@ def _new_incidents(df: DataFrame, id_part) -> DataFrame:
                      F.col("_name").alias("trabajador"), F.col("_dest").alias("codigo_crown_destino"))
 
 
+def _listed(requests: DataFrame) -> DataFrame:
+    """Requests with their non-blank destinations (``destinos``) and worker name (``_name``)."""
+    r = with_destinations(requests)
+    _, name = N.split_label(F.col("trabajador"))
+    listed = F.filter(F.coalesce("destinos", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+    return r.withColumn("destinos", listed).withColumn("_name", name)
+
+
+def _rejection() -> F.Column:
+    """Why a bulk request adds nothing; null when it is accepted."""
+    n = F.size("destinos")
+    return (F.when(~F.coalesce(F.col("kind").isin("centro", "trabajador"), F.lit(False)), "tipo_desconocido")
+            .when((F.col("kind") == "centro") & N.is_blank("centro_origen"), "sin_centro_origen")
+            .when((F.col("kind") == "trabajador") & N.is_blank("_name"), "sin_trabajador")
+            .when(n == 0, "sin_destino")
+            .when((F.col("kind") == "trabajador") & (n > MAX_DESTINATIONS), "demasiados_destinos"))
+
+
+def intake_rejected(requests: DataFrame) -> DataFrame:
+    """request_id and reason of every bulk request that a rule stops."""
+    return _listed(requests).select("request_id", _rejection().alias("motivo_rechazo")).filter("motivo_rechazo is not null")
+
+
 def intake_by_centre(requests: DataFrame, m: Masters) -> DataFrame:
-    """Each 'centro' request adds one incident per distinct worker of its origin centre."""
-    r = with_destinations(requests).filter(F.col("kind") == "centro")
-    r = r.withColumn("_dest", F.coalesce(F.element_at("destinos", 1), F.lit("")))
-    r = r.filter(~N.is_blank("centro_origen") & (F.col("_dest") != ""))
+    """Each accepted 'centro' request adds one incident per distinct worker of its origin centre and destination."""
+    r = _listed(requests).filter((F.col("kind") == "centro") & _rejection().isNull()).drop("_name")
     staff = employees_by_centre(m.workers_enriched)
     j = r.join(staff, r.centro_origen == staff.codigo_centro, "inner")
-    j = j.withColumn("_name", F.col("nombre_empleado")).withColumn("_orden", F.col("nombre_empleado"))
-    return enrich(_new_incidents(j, F.col("_name")), m)
+    j = j.select("*", F.posexplode("destinos").alias("_pos", "_dest")).withColumn("_name", F.col("nombre_empleado"))
+    j = j.withColumn("_orden", F.concat_ws(":", F.format_string("%010d", F.col("_pos")), F.col("_name")))
+    return enrich(_new_incidents(j, F.col("_orden")), m)
 
 
 def intake_by_worker(requests: DataFrame, m: Masters) -> DataFrame:
-    """Each 'trabajador' request adds one incident per non-blank destination."""
-    r = with_destinations(requests).filter(F.col("kind") == "trabajador")
-    _, name = N.split_label(F.col("trabajador"))
-    r = r.withColumn("_name", name)
-    r = r.filter(~N.is_blank("_name") & (F.size("destinos").between(1, MAX_DESTINATIONS)))
-    j = r.select("*", F.posexplode("destinos").alias("_pos", "_dest")).filter(F.col("_dest") != "")
-    j = j.withColumn("_orden", F.format_string("%03d", F.col("_pos")))
+    """Each accepted 'trabajador' request adds one incident per destination."""
+    r = _listed(requests).filter((F.col("kind") == "trabajador") & _rejection().isNull())
+    j = r.select("*", F.posexplode("destinos").alias("_pos", "_dest"))
+    j = j.withColumn("_orden", F.format_string("%010d", F.col("_pos")))
     return enrich(_new_incidents(j, F.col("_orden")), m)
 
 
 def intake_replicate(requests: DataFrame, m: Masters) -> DataFrame:
-    """Each request adds ``num_rows`` copies for its worker and first destination."""
-    r = with_destinations(requests)
-    _, name = N.split_label(F.col("trabajador"))
-    r = r.withColumn("_name", name).withColumn("_dest", F.coalesce(F.element_at("destinos", 1), F.lit("")))
-    r = r.filter(~N.is_blank("_name") & (F.col("num_rows") >= 1))
-    j = r.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("num_rows").cast("int"))))
-    j = j.withColumn("_orden", F.format_string("%06d", F.col("_copy")))
+    """Each request adds ``num_rows`` copies for its worker and every listed destination (a blank one when none is)."""
+    r = _listed(requests).filter(~N.is_blank("_name") & (F.col("num_rows") >= 1))
+    listed = F.when(F.size("destinos") > 0, F.col("destinos")).otherwise(F.array(F.lit("")))
+    j = r.select("*", F.posexplode(listed).alias("_pos", "_dest"))
+    j = j.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("num_rows").cast("int"))))
+    j = j.withColumn("_orden", F.format_string("%010d:%010d", F.col("_pos"), F.col("_copy")))
     return enrich(_new_incidents(j, F.col("_orden")), m)
 
 
@@ -81,7 +102,9 @@ def append_intake(facts: DataFrame, new: DataFrame) -> DataFrame:
     fresh = number_within(new, list(SCOPE), ["request_id", "_orden"], name="_local")
     # One row per scope: adaptive execution broadcasts it once its (tiny)
     # aggregate has run; a count up front would cost a pass over the facts.
-    fresh = fresh.join(counts, list(SCOPE), "left")
+    counts = counts.withColumnsRenamed({c: f"_{c}" for c in SCOPE})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SCOPE]
+    fresh = fresh.join(counts, same[0] & same[1], "left").drop(*(f"_{c}" for c in SCOPE))
     fresh = fresh.withColumn("seq", (F.coalesce(F.col("_base"), F.lit(0)) + F.col("_local")).cast("bigint"))
     return old.unionByName(fresh.select(*FACT_COLUMNS, "seq"))
 
@@ -92,4 +115,4 @@ def clear_scope(facts: DataFrame, session_jefe: str, imputacion_nomina: str) ->
     return facts.filter(~F.coalesce(hit, F.lit(False)))
 
 
-__all__ = ["intake_by_centre", "intake_by_worker", "intake_replicate", "append_intake", "clear_scope"]
+__all__ = ["intake_by_centre", "intake_by_worker", "intake_rejected", "intake_replicate", "append_intake", "clear_scope"]

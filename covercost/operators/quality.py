@@ -57,7 +57,9 @@ def invalid_reasons(facts: DataFrame, first_n: int = 3, order: str = "incidencia
     counts = facts.groupBy(*SCOPE).agg(F.greatest(F.count(F.lit(1)) - first_n, F.lit(0)).alias("n_mas"))
     # Both sides hold a few rows per scope; adaptive execution broadcasts the
     # smaller one at run time (an up-front count would re-read the facts).
-    return firsts.join(counts, list(SCOPE))
+    counts = counts.withColumnsRenamed({c: f"_{c}" for c in SCOPE})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SCOPE]  # a scope may lack its session or month
+    return firsts.join(counts, same[0] & same[1]).drop(*(f"_{c}" for c in SCOPE))
 
 
 def _membership_side(d, col: str, alias: str, flag: str) -> DataFrame:

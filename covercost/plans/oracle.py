@@ -350,31 +350,32 @@ select *, row_number() over (partition by {SCOPE} order by incidencia_id) as seq
 from facts""", "facts")
 
 # -- intake -----------------------------------------------------------------------
-cte("req", "select *, string_split(coalesce(destinos_csv, ''), ',') as destinos from requests", "requests")
+cte("req", """
+select * exclude (l_), list_filter(l_, lambda x: x <> '') as destinos,
+  case when strpos(trabajador, ' - ') > 0 then substr(trabajador, strpos(trabajador, ' - ') + 3) else trabajador end as name_
+from (select *, string_split(coalesce(destinos_csv, ''), ',') as l_ from requests)""", "requests")
 cte("staff", """
 select distinct centro_preferente as codigo_centro, nombre_empleado from workers_enriched
 where coalesce(centro_preferente, '') <> '' and nombre_empleado is not null""", "workers_enriched")
 cte("new_by_centre", """
-select concat_ws(':', 'R', cast(r.request_id as varchar), r.kind, s.nombre_empleado) as incidencia_id,
-  r.session_jefe, r.imputacion_nomina, r.request_id, s.nombre_empleado as orden_,
-  s.nombre_empleado as trabajador, coalesce(r.destinos[1], '') as codigo_crown_destino
-from req r join staff s on r.centro_origen = s.codigo_centro
-where r.kind = 'centro' and coalesce(r.centro_origen, '') <> '' and coalesce(r.destinos[1], '') <> ''""",
-    "req", "staff")
-cte("new_by_worker", f"""
+select concat_ws(':', 'R', cast(request_id as varchar), kind, orden_) as incidencia_id, session_jefe, imputacion_nomina, request_id, orden_,
+  nombre_empleado as trabajador, dest_ as codigo_crown_destino
+from (select r.*, s.nombre_empleado, u.dest_, lpad(cast(u.pos_ - 1 as varchar), 10, '0') || ':' || s.nombre_empleado as orden_
+      from req r join staff s on r.centro_origen = s.codigo_centro, unnest(r.destinos) with ordinality as u(dest_, pos_)
+      where r.kind = 'centro' and coalesce(r.centro_origen, '') <> '') t""", "req", "staff")
+cte("new_by_worker", """
 select concat_ws(':', 'R', cast(request_id as varchar), kind, orden_) as incidencia_id,
   session_jefe, imputacion_nomina, request_id, orden_, name_ as trabajador, dest_ as codigo_crown_destino
-from (select r.*, u.dest_, lpad(cast(u.pos_ - 1 as varchar), 3, '0') as orden_,
-        case when strpos(r.trabajador, ' - ') > 0 then substr(r.trabajador, strpos(r.trabajador, ' - ') + 3) else r.trabajador end as name_
+from (select r.*, u.dest_, lpad(cast(u.pos_ - 1 as varchar), 10, '0') as orden_
       from req r, unnest(r.destinos) with ordinality as u(dest_, pos_)
       where r.kind = 'trabajador' and len(r.destinos) between 1 and 10) t
-where coalesce(name_, '') <> '' and dest_ <> ''""", "req")
+where coalesce(name_, '') <> ''""", "req")
 cte("new_replicate", """
 select concat_ws(':', 'R', cast(request_id as varchar), kind, orden_) as incidencia_id,
   session_jefe, imputacion_nomina, request_id, orden_, name_ as trabajador, dest_ as codigo_crown_destino
-from (select r.*, lpad(cast(g.k as varchar), 6, '0') as orden_, coalesce(r.destinos[1], '') as dest_,
-        case when strpos(r.trabajador, ' - ') > 0 then substr(r.trabajador, strpos(r.trabajador, ' - ') + 3) else r.trabajador end as name_
-      from req r, generate_series(1, r.num_rows) as g(k) where r.num_rows >= 1) t
+from (select r.*, u.dest_, lpad(cast(u.pos_ - 1 as varchar), 10, '0') || ':' || lpad(cast(g.k as varchar), 10, '0') as orden_
+      from req r, generate_series(1, r.num_rows) as g(k),
+        unnest(case when len(r.destinos) > 0 then r.destinos else [''] end) with ordinality as u(dest_, pos_) where r.num_rows >= 1) t
 where coalesce(name_, '') <> ''""", "req")
 
 _USER_BLANK = ("(select *, '' as facturable, '' as motivo, '' as empresa_destino, 0.0 as incidencia_horas, "
@@ -545,6 +546,14 @@ def oracle_sql() -> dict[str, str]:
           '||' order by seq)) as huella from paged group by {SCOPE}, pagina""", "paged")
     out["clear_scope"] = with_ctes(f"""select * from facts where not coalesce(session_jefe = 'SUP0'
         and imputacion_nomina = {lit(MONTHS[0])}, false)""", "facts")
+    out["intake_rejected"] = with_ctes("""
+select request_id, motivo_rechazo from (select request_id,
+  case when coalesce(kind, '') not in ('centro', 'trabajador') then 'tipo_desconocido'
+       when kind = 'centro' and coalesce(centro_origen, '') = '' then 'sin_centro_origen'
+       when kind = 'trabajador' and coalesce(name_, '') = '' then 'sin_trabajador'
+       when len(destinos) = 0 then 'sin_destino'
+       when kind = 'trabajador' and len(destinos) > 10 then 'demasiados_destinos' end as motivo_rechazo from req)
+where motivo_rechazo is not null""", "req")
     for key, src in (("intake_by_centre", "enriched_new_by_centre"), ("intake_by_worker", "enriched_new_by_worker"),
                      ("intake_replicate", "enriched_new_replicate")):
         out[key] = with_ctes(f"select {FACTS} from {src}", src)

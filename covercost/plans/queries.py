@@ -272,6 +272,10 @@ def intake_replicate(spark, d):
     return I.intake_replicate(c.requests, c.masters).select(*FACTS)
 
 
+def intake_rejected(spark, d):
+    return I.intake_rejected(context(spark, d).requests)
+
+
 def append_intake(spark, d):
     c = context(spark, d)
     new = I.intake_by_centre(c.requests, c.masters).unionByName(I.intake_by_worker(c.requests, c.masters))

@@ -56,16 +56,41 @@ def test_intake(spark, tiny):
         (2, "S1", "01-Enero", "trabajador", "", "102 - JUAN", "101,,102", 3),
         (3, "S1", "01-Enero", "trabajador", "", "MARIA", ",".join(["101"] * 11), 1),
         (4, "S2", "01-Enero", "trabajador", "", "", "101", 1),
+        (5, "S2", "01-Enero", "centro", "102", "", "101,,102", 1),
+        (6, "S2", "01-Enero", "centro", "", "", "101", 1),
+        (7, "S2", "01-Enero", "centro", "102", "", "", 1),
     ], "request_id long, session_jefe string, imputacion_nomina string, kind string, centro_origen string, "
        "trabajador string, destinos_csv string, num_rows long")
     by_centre = I.intake_by_centre(req, tiny).collect()
-    assert sorted(r["trabajador"] for r in by_centre) == ["MARIA", "PEPE"]
-    assert all(r["codigo_crown_destino"] == "101" and r["facturable"] == "" for r in by_centre)
+    assert sorted(r["trabajador"] for r in by_centre if r["request_id"] == 1) == ["MARIA", "PEPE"]
+    assert all(r["facturable"] == "" for r in by_centre)
+    # every listed destination, for every worker
+    assert sorted((r["trabajador"], r["codigo_crown_destino"]) for r in by_centre if r["request_id"] == 5) == [
+        ("MARIA", "101"), ("MARIA", "102"), ("PEPE", "101"), ("PEPE", "102")]
+    rejected = {r["request_id"]: r["motivo_rechazo"] for r in I.intake_rejected(req).collect()}
+    assert rejected == {3: "demasiados_destinos", 4: "sin_trabajador", 6: "sin_centro_origen", 7: "sin_destino"}
+    accepted = {r["request_id"] for r in by_centre + I.intake_by_worker(req, tiny).collect()}
+    assert accepted | set(rejected) == set(range(1, 8)) and not accepted & set(rejected)
     by_worker = I.intake_by_worker(req, tiny).collect()
     assert sorted(r["codigo_crown_destino"] for r in by_worker) == ["101", "102"]   # blank skipped, 11 refused
     assert all(r["trabajador"] == "JUAN" and r["codigo_crown_origen"] == "" for r in by_worker)
     rep = I.intake_replicate(req, tiny).collect()
-    assert sum(r["request_id"] == 2 for r in rep) == 3 and all(r["request_id"] != 4 for r in rep)
+    assert sum(r["request_id"] == 2 for r in rep) == 6 and all(r["request_id"] != 4 for r in rep)
+
+
+def test_null_scope_and_repeated_edits(spark, tiny, facts):
+    from pyspark.sql import functions as F
+    from covercost.operators import quality as Q
+    blank = facts.withColumn("session_jefe", F.lit(None).cast("string"))
+    assert Q.invalid_reasons(blank).count() == Q.invalid_reasons(facts.withColumn("session_jefe", F.lit("S"))).count() > 0
+    req = spark.createDataFrame([(1, None, "01-Enero", "centro", "102", "", "101", 1)],
+                                "request_id long, session_jefe string, imputacion_nomina string, kind string, "
+                                "centro_origen string, trabajador string, destinos_csv string, num_rows long")
+    seqs = [r["seq"] for r in I.append_intake(blank, I.intake_by_centre(req, tiny)).collect()]
+    assert sorted(seqs) == list(range(1, len(seqs) + 1))
+    twice = spark.createDataFrame([("5", 1, "2"), ("5", 2, "3"), (None, 3, "4")], "incidencia_id string, edit_seq int, incidencia_horas string")
+    out = E.apply_edits(facts, twice, tiny).collect()
+    assert len(out) == facts.count() and [r["incidencia_horas"] for r in out if r["incidencia_id"] == "5"] == [3.0]
 
 
 def test_append_and_clear(spark, tiny, facts):
