@@ -4,7 +4,7 @@ Equal strings are brought together first.  In every run of LENGTH bytes the
 ANCHOR-byte window of the least hash is an anchor (winnowing), so equal strings
 have equal anchors at equal places.  Around an anchor that occurs more than
 once, a segment holds every string that it anchors.  Segments that are equal
-are duplicates throughout.  The others are compared, distinct segments only:
+are duplicates throughout.  The others are compared (of equal segments one):
 each string around an anchor holds one of PARTS spans of CORE bytes, segments
 are grouped by the hashes of these spans, and the groups are packed into shards
 whose suffix arrays are built by induced sorting.  Suffixes whose common prefix
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covercost.llm.base import mix, powers, prefix_hashes, slices, span_hashes, stage, stream, table, text_bytes
+from covercost.llm.base import broadcast_if_small, mix, powers, prefix_hashes, slices, span_hashes, stage, stream, table, text_bytes
 from covercost.llm.minhash_dedup import by_key
 
 LENGTH, ANCHOR = 200, 40
@@ -109,8 +109,9 @@ def parts(lo: np.ndarray, hi: np.ndarray, place: np.ndarray):
         yield p, rows, core[rows], a[rows], b[rows]
 
 
-def cut_out(members: DataFrame) -> DataFrame:
-    """A row for each part of each segment: its group (the core's hash), bytes, and place in the corpus."""
+def cut_out(members: DataFrame, whole: bool) -> DataFrame:
+    """A row for each part of each segment: its group (the core's hash) and whether it is known to be repeated;
+    ``whole``: its bytes and place in the corpus instead of the latter."""
 
     def cut(batches):
         for batch in batches:
@@ -119,19 +120,20 @@ def cut_out(members: DataFrame) -> DataFrame:
             for r, places in enumerate(spots):
                 raw = data[offsets[r]:offsets[r + 1]]
                 prefix = prefix_hashes(raw)
-                for lo in range(0, len(places), 4096):  # a long text has many segments
-                    place = np.array([x["pos"] for x in places[lo:lo + 4096]], np.int64)
-                    known = np.array([x["known"] for x in places[lo:lo + 4096]], bool)
+                for first in range(0, len(places), 4096):  # a long text has many segments
+                    place = np.array([x["pos"] for x in places[first:first + 4096]], np.int64)
+                    known = np.array([x["known"] for x in places[first:first + 4096]], bool)
                     left, right = np.maximum(0, place - REACH), np.minimum(len(raw), place + LENGTH)
                     for p, rows, core, a, b in parts(left, right, place):
-                        group = mix(span_hashes(prefix, core, core + CORE) + np.uint64(p + 1))
-                        piece = mix(span_hashes(prefix, a, b) + (core - a).astype(np.uint64))
-                        yield pa.record_batch([
-                            pa.array(group.view(np.int64)), pa.array(piece.view(np.int64)), pa.array([batch.column(0)[r].as_py()] * len(rows), pa.binary()),
-                            pa.array(a), pa.array([raw[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary()), pa.array(known[rows])],
-                            names=["group", "piece", "key", "start", "bytes", "known"])
+                        group = mix(span_hashes(prefix, core, core + CORE) + np.uint64(p + 1)).view(np.int64)
+                        if whole:
+                            yield pa.record_batch([pa.array(group), pa.array([batch.column(0)[r].as_py()] * len(rows), pa.binary()), pa.array(a),
+                                                   pa.array([raw[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())],
+                                                  names=["group", "key", "start", "bytes"])
+                        else:
+                            yield pa.record_batch([pa.array(group), pa.array(known[rows])], names=["group", "known"])
 
-    return members.mapInArrow(cut, "group long, piece long, key binary, start long, bytes binary, known boolean")
+    return members.mapInArrow(cut, "group long, key binary, start long, bytes binary" if whole else "group long, known boolean")
 
 
 def kinds(s: np.ndarray) -> np.ndarray:
@@ -329,18 +331,18 @@ def covered(spark: SparkSession, texts: DataFrame) -> DataFrame:
     mixed = segments.join(some.where("kinds > 1 and single > 0").select(F.col("anchor").alias("_anchor")), F.col("anchor") == F.col("_anchor"), "left_semi")
     members = mixed.select(F.col("one.key").alias("_key"), F.struct(F.col("one.pos").alias("pos"), (F.col("n") > 1).alias("known")).alias("spot"))
     members = members.groupBy("_key").agg(F.collect_list("spot").alias("spots"))  # at most a text's own anchors
-    once = texts.join(members, F.col("key") == F.col("_key")).dropDuplicates(["key"]).select("key", "text", "spots")
-    pieces = stage(spark, cut_out(once), "pieces")
-    sizes = pieces.groupBy("group").agg(F.countDistinct("piece").alias("size"), F.min(F.col("known").cast("int")).alias("known"))
-    sizes = sizes.where("size > 1 and known = 0").select(F.col("group").alias("_group"), "size")
-    compared = pieces.join(sizes, F.col("group") == F.col("_group"))
+    members = stage(spark, members, "members")
+    keys = broadcast_if_small(stage(spark, members.select(F.col("_key").alias("_of")), "member-keys"), 48)
+    once = texts.join(keys, F.col("key") == F.col("_of"), "left_semi")  # only texts with segments to compare are moved
+    once = stage(spark, once.join(members, F.col("key") == F.col("_key")).dropDuplicates(["key"]).select("key", "text", "spots"), "member-texts")
+    # hashes first: bytes are cut out only of groups with several segments, some of them not known to be repeated
+    sizes = cut_out(once, False).groupBy("group").agg(F.count("*").alias("size"), F.min(F.col("known").cast("int")).alias("known"))
+    sizes = stage(spark, sizes.where("size > 1 and known = 0").select(F.col("group").alias("_group"), "size"), "groups")
+    compared = cut_out(once, True).join(broadcast_if_small(sizes, 24), F.col("group") == F.col("_group"))
+    compared = stage(spark, compared.select("group", "key", "start", "bytes", "size"), "pieces")
     found = by_arrays(compared.where(F.col("size") <= MOST_SEGMENTS)).union(one_by_one(compared.where(F.col("size") > MOST_SEGMENTS)))
-    # pieces may be equal though their segments aren't
-    same = pieces.groupBy("group", "piece").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("group").alias("_group"), F.col("piece").alias("_piece"))
-    alike = pieces.join(same, (F.col("group") == F.col("_group")) & (F.col("piece") == F.col("_piece")), "left_semi")
-    alike = alike.select("key", F.col("start").alias("first"), (F.col("start") + F.octet_length("bytes")).alias("end"))
     whole = full.select("key", F.greatest(F.col("pos") - REACH, F.lit(0)).alias("first"), (F.col("pos") + LENGTH).alias("end"))  # the end is cut to the text later
-    return whole.union(found).union(alike)
+    return whole.union(found)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
