@@ -7,11 +7,13 @@ once, a segment holds every string that it anchors.  Segments that are equal
 are duplicates throughout.  The others are compared (of equal segments one):
 each string around an anchor holds one of PARTS spans of CORE bytes, segments
 are grouped by the hashes of these spans, and the groups are packed into shards
-whose suffix arrays are built by induced sorting.  Suffixes whose common prefix
-(permuted, by text position) with a neighbour is LENGTH or more are duplicates
-when they stand at different places of the corpus.  A group of more than
-MOST_SEGMENTS distinct segments isn't put into one shard: its strings are
-compared one by one, by a hash each, in as many tasks as needed.
+whose suffix arrays are built by induced sorting.  Within a group the span is
+the same everywhere, so a shard holds it as one symbol between the bytes before
+and after it.  Suffixes whose common prefix (permuted, by text position) with a
+neighbour covers LENGTH bytes or more are duplicates when they stand in one
+group.  A group of more than MOST_SEGMENTS segments isn't put into one shard:
+its distinct pieces' strings are compared one by one, by a hash each, in as
+many tasks as needed.
 
 Induced sorting runs over byte buckets with whole arrays; the string of names
 of the leftmost-smaller substrings, whose alphabet is as long as itself, is
@@ -39,8 +41,9 @@ LENGTH, ANCHOR = 200, 40
 REACH = LENGTH - ANCHOR  # bytes on either side of an anchor that its strings may hold
 PARTS = 4
 CORE = LENGTH - REACH // PARTS
-#: Distinct segments that a group may put into one shard, and bytes that one suffix array covers.
-MOST_SEGMENTS, ARRAY_BYTES = 1024, 1 << 19
+WINDOW = LENGTH - CORE + 1  # symbols of a string whose core is one symbol
+#: Segments that a group may put into one shard, and symbols that one suffix array covers.
+MOST_SEGMENTS, ARRAY_SYMBOLS = 1024, 1 << 19
 _LEFT, _RIGHT = stream(51, 2)
 _VALUES = stream(52, 259)
 _BASE = 0xC2B2AE3D27D4EB4F
@@ -111,7 +114,7 @@ def parts(lo: np.ndarray, hi: np.ndarray, place: np.ndarray):
 
 def cut_out(members: DataFrame, whole: bool) -> DataFrame:
     """A row for each part of each segment: its group (the core's hash) and whether it is known to be repeated;
-    ``whole``: its bytes and place in the corpus instead of the latter."""
+    ``whole``: the bytes before (``left`` of them) and after the core and the part's place in the corpus instead of the latter."""
 
     def cut(batches):
         for batch in batches:
@@ -127,13 +130,14 @@ def cut_out(members: DataFrame, whole: bool) -> DataFrame:
                     for p, rows, core, a, b in parts(left, right, place):
                         group = mix(span_hashes(prefix, core, core + CORE) + np.uint64(p + 1)).view(np.int64)
                         if whole:
+                            around = [raw[w:x].tobytes() + raw[y:z].tobytes() for w, x, y, z in zip(a, core, core + CORE, b, strict=True)]
                             yield pa.record_batch([pa.array(group), pa.array([batch.column(0)[r].as_py()] * len(rows), pa.binary()), pa.array(a),
-                                                   pa.array([raw[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())],
-                                                  names=["group", "key", "start", "bytes"])
+                                                   pa.array((core - a).astype(np.int32)), pa.array(around, pa.binary())],
+                                                  names=["group", "key", "start", "left", "around"])
                         else:
                             yield pa.record_batch([pa.array(group), pa.array(known[rows])], names=["group", "known"])
 
-    return members.mapInArrow(cut, "group long, key binary, start long, bytes binary" if whole else "group long, known boolean")
+    return members.mapInArrow(cut, "group long, key binary, start long, left int, around binary" if whole else "group long, known boolean")
 
 
 def kinds(s: np.ndarray) -> np.ndarray:
@@ -233,27 +237,38 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def repeated(pieces: list[bytes], where: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """(piece, offset) of each LENGTH-byte string that also stands at another place; ``where``, ``start`` place the pieces."""
-    sizes = np.array([len(p) for p in pieces]) + 1
-    s = np.zeros(sizes.sum() + 1, np.int64)
+def repeated(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, group: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """(piece, offset) of each LENGTH-byte string that also stands in another piece of its group, or in a known one.
+
+    The pieces are distinct; piece i is ``left[i]`` bytes, its group's core and
+    the rest of its bytes.  The core is the same throughout a group, so it is
+    one symbol here, and a string is WINDOW symbols.
+    """
+    width = np.diff(offsets)
+    sizes = width + 2
     first = np.cumsum(sizes) - sizes
-    body = np.ones(len(s) - 1, bool)
-    body[first + sizes - 1] = False
-    s[:-1][body] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64) + 2
-    s[:-1][~body] = 1
-    sa = suffix_array(s)
-    length = common_prefixes(s, sa, LENGTH)[sa]
+    s = np.ones(sizes.sum() + 1, np.int64)  # 1 ends a piece
+    s[-1] = 0
+    s[first + left] = 2
+    piece = np.repeat(np.arange(len(left)), width)
+    within = np.arange(len(piece)) - offsets[piece]
+    s[first[piece] + within + (within >= left[piece])] = data.astype(np.int64) + 3
+    sa = suffix_array(s, 259)
+    shared = np.cumsum(common_prefixes(s, sa, WINDOW)[sa] < WINDOW)  # suffixes that begin with the same WINDOW symbols
     piece = np.searchsorted(first, sa, side="right") - 1
     offset = sa - first[piece]
-    whole = offset + LENGTH < sizes[piece]
-    group = np.cumsum(length < LENGTH)  # suffixes with equal beginnings of LENGTH
-    spot = where[piece].astype(np.uint64) * _LEFT + (start[piece] + offset).astype(np.uint64)
-    spot = mix(spot)
-    cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    low, high = np.minimum.reduceat(spot, cuts), np.maximum.reduceat(spot, cuts)
-    many = (low != high)[np.cumsum(np.concatenate(([True], group[1:] != group[:-1]))) - 1]
-    found = np.flatnonzero(many & whole)
+    whole = np.flatnonzero(offset + WINDOW < sizes[piece])
+    piece, offset, shared = piece[whole], offset[whole], shared[whole]
+    order = np.lexsort((shared, group[piece]))
+    piece, offset, shared = piece[order], offset[order], shared[order]
+    if not len(piece):
+        return np.zeros((0, 2), np.int64)
+    new = np.concatenate(([True], (shared[1:] != shared[:-1]) | (group[piece][1:] != group[piece][:-1])))
+    cuts = np.flatnonzero(new)
+    # a piece holds one string at each offset of the core, so equal strings stand in different pieces or at different offsets
+    many = np.diff(np.append(cuts, len(piece))) > 1
+    many |= np.maximum.reduceat(known[piece], cuts)
+    found = np.flatnonzero(many[np.cumsum(new) - 1])
     return np.stack([piece[found], offset[found]], axis=1)
 
 
@@ -274,49 +289,75 @@ INTERVAL = "key binary, first long, end long"
 def by_arrays(groups: DataFrame) -> DataFrame:
     """Covered intervals of the pieces of ``groups``, compared within suffix arrays of whole groups."""
 
+    def done(held: list[pa.Table]):
+        t = pa.concat_tables(held).combine_chunks()
+        keys, start = t.column("key"), t.column("start").to_numpy()
+        left = t.column("left").to_numpy().astype(np.int64)
+        data, offsets = text_bytes(t.column("around").cast(pa.large_binary()))
+        # equal pieces are repeated throughout; one of them is compared with the others
+        _, group = np.unique(t.column("group").to_numpy(), return_inverse=True)
+        same = mix(span_hashes(prefix_hashes(data), offsets[:-1], offsets[1:]) + group.astype(np.uint64) * _LEFT + left.astype(np.uint64) * _RIGHT)
+        _, one, kind, n = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
+        copies = np.flatnonzero(n[kind] > 1)
+        out = [(copies, start[copies], start[copies] + np.diff(offsets)[copies] + CORE)]
+        kinds_of, single = np.bincount(group[one]), np.bincount(group[one], n == 1)
+        one, n = (x[(kinds_of > 1)[group[one]] & (single > 0)[group[one]]] for x in (one, n))
+        if len(one):
+            size = np.diff(offsets)[one]
+            ends = np.concatenate(([0], np.cumsum(size)))
+            at = np.repeat(offsets[one] - ends[:-1], size) + np.arange(ends[-1])
+            found = repeated(data[at], ends, left[one], group[one], n > 1)
+            found = found[n[found[:, 0]] == 1]
+            of, a, b = runs(found[:, 0], found[:, 1])
+            out.append((one[of], start[one[of]] + a, start[one[of]] + b))
+        rows, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.record_batch([keys.take(pa.array(rows)).combine_chunks(), pa.array(a), pa.array(b)], names=["key", "first", "end"])
+
     def compare(batches):
         held, size = [], 0
-
-        def done():
-            t = pa.concat_tables(held)
-            keys = t.column("key").to_pylist()
-            start = t.column("start").to_numpy()
-            where = np.array([int.from_bytes(k[:8], "little") for k in keys], np.uint64)
-            at = repeated(t.column("bytes").to_pylist(), where, start)
-            of, a, b = runs(at[:, 0], at[:, 1])
-            return pa.record_batch([pa.array([keys[k] for k in of], pa.binary()), pa.array(start[of] + a), pa.array(start[of] + b)], names=["key", "first", "end"])
-
         for t in by_key(batches, 1):
-            if held and size + 360 * len(t) > ARRAY_BYTES:
-                yield done()
+            if held and size + (2 * LENGTH - 2 * CORE + 2) * len(t) > ARRAY_SYMBOLS:
+                yield done(held)
                 held, size = [], 0
             held.append(t)
-            size += 360 * len(t)
+            size += (2 * LENGTH - 2 * CORE + 2) * len(t)
         if held:
-            yield done()
+            yield done(held)
 
-    return groups.select("group", "key", "start", "bytes").repartition("group").sortWithinPartitions("group").mapInArrow(compare, INTERVAL)
+    return groups.select("group", "key", "start", "left", "around").repartition("group").sortWithinPartitions("group").mapInArrow(compare, INTERVAL)
 
 
 def one_by_one(groups: DataFrame) -> DataFrame:
-    """Covered intervals of the pieces of ``groups``, by a hash of each of their strings."""
+    """Covered intervals of the pieces of ``groups``: equal pieces as a whole, the others by a hash of each of their strings."""
+    spark = groups.sparkSession
 
     def hashes(batches):
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 part = batch.slice(lo, 2000)
-                data, offsets = text_bytes(part.column(2).cast(pa.large_binary()))
+                group, _, start, left, around, known = part.columns
+                data, offsets = text_bytes(around.cast(pa.large_binary()))
                 prefix = prefix_hashes(data)
-                each = np.maximum(0, np.diff(offsets) - LENGTH + 1)
+                each = np.maximum(0, np.diff(offsets) - WINDOW + 2)
                 row = np.repeat(np.arange(len(part)), each)
                 offset = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
                 at = offsets[row] + offset
-                yield pa.record_batch([part.column(0).take(pa.array(row)), pa.array(part.column(1).to_numpy()[row] + offset), pa.array(span_hashes(prefix, at, at + LENGTH).view(np.int64))],
-                                      names=["key", "first", "string"])
-
-    strings = stage(groups.sparkSession, groups.select("key", "start", "bytes").mapInArrow(hashes, "key binary, first long, string long").distinct(), "repeat-strings")
-    many = strings.groupBy("string").agg(F.count("*").alias("_n")).where("_n > 1").withColumnRenamed("string", "_string")
-    return strings.join(many, F.col("string") == F.col("_string"), "left_semi").select("key", "first", (F.col("first") + LENGTH).alias("end"))
+                # the bytes around the core, how many of them stand before it, and the group tell the string
+                string = span_hashes(prefix, at, at + WINDOW - 1) + group.to_numpy().view(np.uint64)[row] * _LEFT
+                string = mix(string + (left.to_numpy()[row] - offset).astype(np.uint64) * _RIGHT)
+                yield pa.record_batch([part.column(1).take(pa.array(row)), pa.array(start.to_numpy()[row] + offset), pa.array(string.view(np.int64)), known.take(pa.array(row))],
+                                      names=["key", "first", "string", "known"])
+
+    pieces = groups.select("group", "key", "start", "left", "around").distinct()
+    kinds_of = stage(spark, pieces.groupBy("group", "left", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("one")), "repeat-kinds")
+    copies = kinds_of.where("n > 1").select(F.col("group").alias("_group"), F.col("left").alias("_left"), F.col("around").alias("_around"))
+    same = (F.col("group") == F.col("_group")) & (F.col("left") == F.col("_left")) & (F.col("around") == F.col("_around"))
+    whole = pieces.join(copies, same, "left_semi").select("key", F.col("start").alias("first"), (F.col("start") + F.length("around") + CORE).alias("end"))
+    kinds_of = kinds_of.select("group", "one.key", "one.start", "left", "around", (F.col("n") > 1).alias("known"))
+    strings = stage(spark, kinds_of.mapInArrow(hashes, "key binary, first long, string long, known boolean"), "repeat-strings")
+    many = strings.groupBy("string").agg(F.count("*").alias("_n"), F.max("known").alias("_any")).where("_n > 1 or _any").select(F.col("string").alias("_string"))
+    found = strings.where("not known").join(many, F.col("string") == F.col("_string"), "left_semi")
+    return whole.union(found.select("key", "first", (F.col("first") + LENGTH).alias("end")))
 
 
 def covered(spark: SparkSession, texts: DataFrame) -> DataFrame:
@@ -339,7 +380,7 @@ def covered(spark: SparkSession, texts: DataFrame) -> DataFrame:
     sizes = cut_out(once, False).groupBy("group").agg(F.count("*").alias("size"), F.min(F.col("known").cast("int")).alias("known"))
     sizes = stage(spark, sizes.where("size > 1 and known = 0").select(F.col("group").alias("_group"), "size"), "groups")
     compared = cut_out(once, True).join(broadcast_if_small(sizes, 24), F.col("group") == F.col("_group"))
-    compared = stage(spark, compared.select("group", "key", "start", "bytes", "size"), "pieces")
+    compared = stage(spark, compared.select("group", "key", "start", "left", "around", "size"), "pieces")
     found = by_arrays(compared.where(F.col("size") <= MOST_SEGMENTS)).union(one_by_one(compared.where(F.col("size") > MOST_SEGMENTS)))
     whole = full.select("key", F.greatest(F.col("pos") - REACH, F.lit(0)).alias("first"), (F.col("pos") + LENGTH).alias("end"))  # the end is cut to the text later
     return whole.union(found)
