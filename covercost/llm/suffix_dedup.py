@@ -112,32 +112,35 @@ def parts(lo: np.ndarray, hi: np.ndarray, place: np.ndarray):
         yield p, rows, core[rows], a[rows], b[rows]
 
 
-def cut_out(members: DataFrame, whole: bool) -> DataFrame:
-    """A row for each part of each segment: its group (the core's hash) and whether it is known to be repeated;
-    ``whole``: the bytes before (``left`` of them) and after the core and the part's place in the corpus instead of the latter."""
+def cut_out(members: DataFrame) -> DataFrame:
+    """A row for each part of each segment: its group (the core's hash), place, whether it is known to be repeated, and
+    the bytes before (``left`` of them) and after the core."""
 
     def cut(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            spots = batch.column(2).to_pylist()
-            for r, places in enumerate(spots):
-                raw = data[offsets[r]:offsets[r + 1]]
+            spots = batch.column(2)
+            of = spots.offsets.to_numpy() - spots.offsets[0].as_py()
+            values = spots.flatten()
+            pos, known = values.field("pos").to_numpy(), values.field("known")
+            for lo, hi in slices(offsets):
+                own = offsets[lo:hi + 1] - offsets[lo]
+                raw = data[offsets[lo]:offsets[hi]]
                 prefix = prefix_hashes(raw)
-                for first in range(0, len(places), 4096):  # a long text has many segments
-                    place = np.array([x["pos"] for x in places[first:first + 4096]], np.int64)
-                    known = np.array([x["known"] for x in places[first:first + 4096]], bool)
-                    left, right = np.maximum(0, place - REACH), np.minimum(len(raw), place + LENGTH)
-                    for p, rows, core, a, b in parts(left, right, place):
-                        group = mix(span_hashes(prefix, core, core + CORE) + np.uint64(p + 1)).view(np.int64)
-                        if whole:
-                            around = [raw[w:x].tobytes() + raw[y:z].tobytes() for w, x, y, z in zip(a, core, core + CORE, b, strict=True)]
-                            yield pa.record_batch([pa.array(group), pa.array([batch.column(0)[r].as_py()] * len(rows), pa.binary()), pa.array(a),
-                                                   pa.array((core - a).astype(np.int32)), pa.array(around, pa.binary())],
-                                                  names=["group", "key", "start", "left", "around"])
-                        else:
-                            yield pa.record_batch([pa.array(group), pa.array(known[rows])], names=["group", "known"])
-
-    return members.mapInArrow(cut, "group long, key binary, start long, left int, around binary" if whole else "group long, known boolean")
+                doc = np.repeat(np.arange(hi - lo), np.diff(of[lo:hi + 1]))
+                place = own[doc] + pos[of[lo]:of[hi]]
+                for p, rows, core, a, b in parts(np.maximum(own[doc], place - REACH), np.minimum(own[doc + 1], place + LENGTH), place):
+                    group = mix(span_hashes(prefix, core, core + CORE) + np.uint64(p + 1)).view(np.int64)
+                    before, size = core - a, b - a - CORE
+                    ends = np.concatenate(([0], np.cumsum(size)))
+                    within = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+                    around = raw[np.repeat(a, size) + within + CORE * (within >= np.repeat(before, size))]
+                    around = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(around)])
+                    yield pa.record_batch([pa.array(group), batch.column(0).take(pa.array(lo + doc[rows])), pa.array(a - own[doc[rows]]),
+                                           pa.array(before.astype(np.int32)), around, known.take(pa.array(of[lo] + rows))],
+                                          names=["group", "key", "start", "left", "around", "known"])
+
+    return members.mapInArrow(cut, "group long, key binary, start long, left int, around binary, known boolean")
 
 
 def kinds(s: np.ndarray) -> np.ndarray:
@@ -367,7 +370,7 @@ def covered(spark: SparkSession, texts: DataFrame) -> DataFrame:
     some = segments.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single"))
     # equal segments: everything in them is repeated
     equal = segments.where("n > 1").select(F.col("anchor").alias("_anchor"), F.col("segment").alias("_segment"))
-    full = spots.join(equal, (F.col("anchor") == F.col("_anchor")) & (F.col("segment") == F.col("_segment")), "left_semi").select("key", "pos").distinct()
+    full = spots.join(equal, (F.col("anchor") == F.col("_anchor")) & (F.col("segment") == F.col("_segment")), "left_semi").select("key", "pos")
     # different segments around one anchor: the distinct ones are compared
     mixed = segments.join(some.where("kinds > 1 and single > 0").select(F.col("anchor").alias("_anchor")), F.col("anchor") == F.col("_anchor"), "left_semi")
     members = mixed.select(F.col("one.key").alias("_key"), F.struct(F.col("one.pos").alias("pos"), (F.col("n") > 1).alias("known")).alias("spot"))
@@ -376,11 +379,11 @@ def covered(spark: SparkSession, texts: DataFrame) -> DataFrame:
     keys = broadcast_if_small(stage(spark, members.select(F.col("_key").alias("_of")), "member-keys"), 48)
     once = texts.join(keys, F.col("key") == F.col("_of"), "left_semi")  # only texts with segments to compare are moved
     once = stage(spark, once.join(members, F.col("key") == F.col("_key")).dropDuplicates(["key"]).select("key", "text", "spots"), "member-texts")
-    # hashes first: bytes are cut out only of groups with several segments, some of them not known to be repeated
-    sizes = cut_out(once, False).groupBy("group").agg(F.count("*").alias("size"), F.min(F.col("known").cast("int")).alias("known"))
+    # only groups with several segments, some of them not known to be repeated, are compared
+    pieces = stage(spark, cut_out(once), "pieces")
+    sizes = pieces.groupBy("group").agg(F.count("*").alias("size"), F.min(F.col("known").cast("int")).alias("known"))
     sizes = stage(spark, sizes.where("size > 1 and known = 0").select(F.col("group").alias("_group"), "size"), "groups")
-    compared = cut_out(once, True).join(broadcast_if_small(sizes, 24), F.col("group") == F.col("_group"))
-    compared = stage(spark, compared.select("group", "key", "start", "left", "around", "size"), "pieces")
+    compared = pieces.drop("known").join(broadcast_if_small(sizes, 24), F.col("group") == F.col("_group"))
     found = by_arrays(compared.where(F.col("size") <= MOST_SEGMENTS)).union(one_by_one(compared.where(F.col("size") > MOST_SEGMENTS)))
     whole = full.select("key", F.greatest(F.col("pos") - REACH, F.lit(0)).alias("first"), (F.col("pos") + LENGTH).alias("end"))  # the end is cut to the text later
     return whole.union(found)
@@ -388,7 +391,8 @@ def covered(spark: SparkSession, texts: DataFrame) -> DataFrame:
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row."""
-    gone = stage(spark, covered(spark, docs.select(key_of(text_of()).alias("key"), text_of().alias("text"))), "covered").groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("first", "end")).alias("gone"))
+    gone = covered(spark, docs.select(key_of(text_of()).alias("key"), text_of().alias("text")))
+    gone = stage(spark, gone.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("first", "end")).alias("gone")), "covered")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), key_of(text_of()).alias("key"))
     rows = rows.join(gone, F.col("key") == F.col("_key"), "left").select("doc_id", "text", "gone")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
