@@ -118,13 +118,6 @@ EDIT_HIDDEN = ("Cod_reg_convenio", "Categoría", "Centro preferente", "Coste hor
 # Tunable defaults (parameters, not behaviour)
 # ---------------------------------------------------------------------------
 
-# Supervisors whose centres are excluded; a parameter (the test fixtures use
-# the three nation names below).
-DEFAULT_EXCLUDED_SUPERVISORS = ("NATION_0", "NATION_1", "NATION_2")
-
-# Destination companies accepted besides blank (fixture values).
-DEFAULT_COMPANIES = ("E0", "E1", "E2")
-
 # A dimension is broadcast only when its counted size is at most this many
 # rows; above it the join shuffles (sort-merge, AQE skew split).
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covercost.session import ensure_checkpoint_dir, max_broadcast_rows, num_partitions, parallelism
+from covercost.session import ensure_checkpoint_dir, max_broadcast_rows, num_partitions
 
 
 class Dim:
@@ -123,19 +123,3 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str =
 
 def null_if_blank(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) != "", c)
-
-
-def ensure_parallelism(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that arrives in too few partitions over the available cores.
-
-    Large tables split by row group and keep their scan partitioning (no extra
-    shuffle); a small file read as one or two splits would otherwise run a
-    whole pipeline on a single core.
-    """
-    spark = df.sparkSession
-    target = min_partitions or parallelism(spark)
-    current = num_partitions(df)
-    if current is not None and current < target:
-        # Hash on a key: deterministic on retry without a pre-sort.
-        return df.repartition(target, *keys) if keys else df.repartition(target)
-    return df

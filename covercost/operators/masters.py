@@ -12,11 +12,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covercost.constants import DEFAULT_EXCLUDED_SUPERVISORS, MISSING_TEXT, WORKER_DEFAULTS
+from covercost.constants import MISSING_TEXT, WORKER_DEFAULTS
 from covercost.functions import normalize as N
 from covercost.operators.joins import Dim, first_by, last_by
 
-def centros_clean(centros: DataFrame, excluded=DEFAULT_EXCLUDED_SUPERVISORS) -> DataFrame:
+def centros_clean(centros: DataFrame, excluded=()) -> DataFrame:
     """Open centres with a code, codes normalised, excluded supervisors removed.
 
     A null supervisor is kept (``NOT IN`` on null would drop it).
@@ -140,7 +140,7 @@ class Masters:
 
     def __init__(self, spark: SparkSession, centros: DataFrame, trabajadores: DataFrame,
                  tarifas: DataFrame, motivos: DataFrame,
-                 excluded_supervisors=DEFAULT_EXCLUDED_SUPERVISORS, max_broadcast_rows: int | None = None):
+                 excluded_supervisors=(), max_broadcast_rows: int | None = None):
         self.spark = spark
         self.centros = centros
         self.trabajadores = trabajadores

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covercost.constants import (DEFAULT_COMPANIES, FACTURABLE_VALUES, MISSING_FIELD_LABELS, MONTHS,
+from covercost.constants import (FACTURABLE_VALUES, MISSING_FIELD_LABELS, MONTHS,
                                  MOTIVO_VALUES, REQUIRED_FIELDS)
 from covercost.functions import normalize as N
 from covercost.operators.joins import Dim, sized_side
@@ -70,7 +70,7 @@ def _membership_side(d, col: str, alias: str, flag: str) -> DataFrame:
 
 
 def domain_violations(facts: DataFrame, worker_names, centre_codes,
-                      companies=DEFAULT_COMPANIES) -> DataFrame:
+                      companies) -> DataFrame:
     """One row per (incident, broken rule).
 
     Value rules are column predicates; membership of the worker and the
@@ -90,6 +90,6 @@ def domain_violations(facts: DataFrame, worker_names, centre_codes,
     ]
     rules += [(F.col(c) < 0, f"{c}_negativo") for c in
               ("incidencia_horas", "incidencia_precio", "nocturnidad_horas", "traslados_total")]
-    rules += [(N.is_blank(c), f"falta_{c}") for c in REQUIRED_FIELDS]
+    rules += [(N.is_blank(c), f"falta_{c}") for c in (*REQUIRED_FIELDS, "observaciones")]
     broken = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in rules]))
     return f.select("incidencia_id", F.explode(broken).alias("regla"))

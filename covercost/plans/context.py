@@ -23,7 +23,8 @@ class Context:
     @cached_property
     def masters(self) -> Masters:
         s, d = self.spark, self.sf_dir
-        return Masters(s, fx.centros(s, d), fx.trabajadores(s, d), fx.tarifas(s, d), fx.motivos(s, d))
+        return Masters(s, fx.centros(s, d), fx.trabajadores(s, d), fx.tarifas(s, d), fx.motivos(s, d),
+                       excluded_supervisors=fx.EXCLUDED_SUPERVISORS)
 
     @cached_property
     def incidencias(self) -> DataFrame:

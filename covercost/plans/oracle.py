@@ -8,7 +8,7 @@ first; ``regexp_replace`` needs the 'g' flag to replace every match.
 
 from __future__ import annotations
 
-from covercost.constants import (ACCOUNT_COLUMNS, DEFAULT_COMPANIES, DEFAULT_EXCLUDED_SUPERVISORS,
+from covercost.constants import (ACCOUNT_COLUMNS,
                                  EDIT_HIDDEN, EXPORT_FIELDS, FACTURABLE_VALUES, NIGHT_COLUMN, TOTAL_COLUMN,
                                  VIEW_FIELDS, VIEW_NUMBERS, VIEW_TEXT,
                                  MISSING_FIELD_LABELS, MONTHS, MOTIVO_VALUES, REQUIRED_FIELDS, ROWS_PER_PAGE,
@@ -186,7 +186,7 @@ select row_idx, {n1('cod_centro_preferente')} as cod_centro_preferente, desc_cen
   {n1('cod_centro_preferente')} as codigo_centro
 from centros
 where cod_centro_preferente is not null and cod_centro_preferente <> '' and fecha_baja_centro is null
-  and not coalesce(nombre_jefe_ope in ({in_list(DEFAULT_EXCLUDED_SUPERVISORS)}), false)""", "centros")
+  and not coalesce(nombre_jefe_ope in ('NATION_0', 'NATION_1', 'NATION_2'), false)""", "centros")
 
 cte("centros_lookup", f"""
 select min(row_idx) as row_idx, code as cod_centro_preferente, descr as desc_centro_preferente, label as nombre_centro_display
@@ -422,14 +422,14 @@ def _violations_sql() -> str:
     rules = [
         (f"coalesce(facturable, '') not in ({in_list(FACTURABLE_VALUES)})", "facturable_fuera_de_dominio"),
         (f"not ({blank('motivo')}) and motivo not in ({in_list(MOTIVO_VALUES)})", "motivo_fuera_de_dominio"),
-        (f"coalesce(empresa_destino, '') not in ('', {in_list(DEFAULT_COMPANIES)})", "empresa_fuera_de_dominio"),
+        (f"coalesce(empresa_destino, '') not in ('', 'E0', 'E1', 'E2')", "empresa_fuera_de_dominio"),
         (f"coalesce(imputacion_nomina, '') not in ({in_list(MONTHS)})", "mes_fuera_de_dominio"),
         (f"not ({blank('trabajador')}) and wk_ is null", "trabajador_desconocido"),
         (f"not ({blank('codigo_crown_destino')}) and ck_ is null", "centro_destino_desconocido"),
     ]
     rules += [(f"{c} < 0", f"{c}_negativo") for c in
               ("incidencia_horas", "incidencia_precio", "nocturnidad_horas", "traslados_total")]
-    rules += [(blank(c), f"falta_{c}") for c in REQUIRED_FIELDS]
+    rules += [(blank(c), f"falta_{c}") for c in (*REQUIRED_FIELDS, "observaciones")]
     return " union all ".join(f"select incidencia_id, {lit(name)} as regla from v_ where {cond}" for cond, name in rules)
 
 

@@ -207,11 +207,11 @@ def _edited_facts(spark, d):
 
 def domain_violations(spark, d):
     m = context(spark, d).masters
-    return Q.domain_violations(_edited_facts(spark, d), m.worker_dim, m.centre_codes)
+    return Q.domain_violations(_edited_facts(spark, d), m.worker_dim, m.centre_codes, fx.COMPANIES)
 
 
 def parse_fecha(spark, d):
-    return context(spark, d).facts.select("incidencia_id", "fecha", N.parse_fecha("fecha").alias("fecha_dt"))
+    return context(spark, d).incidencias.select("incidencia_id", "fecha", N.parse_fecha("fecha").alias("fecha_dt"))
 
 
 def apply_edits(spark, d):
@@ -246,11 +246,11 @@ def page_slice(spark, d):
 
 
 def page_counts(spark, d):
-    return R.page_counts(context(spark, d).facts, current_page=30)
+    return R.page_counts(context(spark, d).incidencias, current_page=30)
 
 
 def page_fingerprint(spark, d):
-    return R.page_fingerprint(R.paged_incidents(context(spark, d).facts))
+    return R.page_fingerprint(paged_incidents(spark, d))
 
 
 def clear_scope(spark, d):

@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covercost.constants import MONTHS
-from covercost.operators.joins import ensure_parallelism
+
+#: Supervisors whose centres are excluded, and accepted destination companies, of the test tables.
+EXCLUDED_SUPERVISORS = ("NATION_0", "NATION_1", "NATION_2")
+COMPANIES = ("E0", "E1", "E2")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +31,7 @@ def _s(c) -> F.Column:
 def centros(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work centres: null/blank/text/float-like and repeated codes, closed centres."""
     s = read_table(spark, sf_dir, "supplier")
-    # nation is the fixed 25-row TPC-H dimension: its size never grows.
-    n = F.broadcast(read_table(spark, sf_dir, "nation"))
+    n = read_table(spark, sf_dir, "nation")
     k = F.col("s_suppkey")
     code = (F.when(k % 17 == 16, F.lit(None).cast("string"))
             .when(k % 19 == 18, F.lit(""))
@@ -104,7 +106,7 @@ def motivos(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
 
 def incidencias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts: one incident per line item, scoped by supervisor session and month."""
-    li = ensure_parallelism(read_table(spark, sf_dir, "lineitem"), "l_orderkey")
+    li = read_table(spark, sf_dir, "lineitem")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     ship = F.col("l_shipdate").cast("date")
     cust = F.col("o_custkey")

@@ -8,8 +8,7 @@ DataFrame with its schema.
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,18 +60,27 @@ def empty_like(spark: SparkSession, table: str) -> DataFrame:
     return empty_of(spark, SCHEMAS[table])
 
 
-def load_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> DataFrame:
-    """Read one master table; a missing path gives an empty table with its schema."""
-    if not os.path.exists(path.replace("file:", "")) and "://" not in path:
+def load_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet", required: bool = False) -> DataFrame:
+    """Read one master table.
+
+    Spark looks for the path in its own file system.  A missing path, or a
+    table without its key columns, raises when ``required``; else it gives an
+    empty table with its schema.  Without a ``row_idx`` column, rows count in
+    the order of (file path, block, place in the block).
+    """
+    reader = spark.read.option("header", True).option("multiLine", True) if fmt == "csv" else spark.read
+    try:
+        df = reader.format(fmt).load(path)
+    except AnalysisException as e:
+        if required or e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return empty_like(spark, table)
-    if fmt == "csv":
-        df = spark.read.option("header", True).option("multiLine", True).csv(path)
-    else:
-        df = spark.read.format(fmt).load(path)
-    has_idx = "row_idx" in df.columns
+    source = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"))
+    if "row_idx" not in df.columns:
+        df = df.select(source.alias("row_idx"), "*")
     if table in POSITIONAL_COLUMNS:
         data = [c for c in df.columns if c != "row_idx"][:POSITIONAL_COLUMNS[table]]
-        df = df.select(*(["row_idx"] if has_idx else []), *data)
+        df = df.select("row_idx", *data)
     df = normalize_headers(df, newline_to_space=(table == "trabajadores"))
     if table == "trabajadores":
         df = resolve_name_column(df)
@@ -81,16 +89,15 @@ def load_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet")
     if table == "motivos" and "Motivo" in df.columns:
         df = df.withColumnRenamed("Motivo", "motivo")
     if not has_columns(df, REQUIRED.get(table, ())):
+        if required:
+            raise ValueError(f"{path}: {table} needs the columns {REQUIRED[table]}")
         return empty_like(spark, table)
-    if not has_idx:
-        # Source order for first/last-wins rules; stable for a given file listing.
-        df = df.withColumn("row_idx", F.monotonically_increasing_id())
     return df
 
 
 def load_masters(spark: SparkSession, base_dir: str, fmt: str = "parquet", **kwargs) -> Masters:
-    """Masters from ``base_dir/{centros,trabajadores,tarifas,motivos}``."""
-    t = {name: load_table(spark, os.path.join(base_dir, name), name, fmt)
+    """Masters from ``base_dir/{centros,trabajadores,tarifas,motivos}``; centres and workers must be there."""
+    t = {name: load_table(spark, f"{base_dir.rstrip('/')}/{name}", name, fmt, name in ("centros", "trabajadores"))
          for name in ("centros", "trabajadores", "tarifas", "motivos")}
     return Masters(spark, t["centros"], t["trabajadores"], t["tarifas"], t["motivos"], **kwargs)
 

@@ -51,3 +51,25 @@ def test_t5_t6_first_match_name_last_match_attributes(tiny):
     rows = tiny.workers_enriched.filter("row_idx = 1").orderBy("_centre_row_idx").collect()
     assert [r["nombre_jefe_ope"] for r in rows] == ["Ana", "Luis"]
     assert worker_dim(tiny.workers_enriched.filter("row_idx = 1")).first()["nombre_jefe_ope"] == "Luis"
+
+
+def test_domain_rules_by_hand(spark):
+    """Each rule on rows that break just it."""
+    from covercost.operators.quality import domain_violations
+
+    def row(i, empresa="", obs="obs", **kw):
+        return (*fact(i, **kw)[:-1], obs, empresa)
+
+    raw = spark.createDataFrame([
+        row(1), row(2, fact_="Quizás"), row(3, motivo="Otra cosa"), row(4, empresa="E9"), row(5, mes="13-Mes"),
+        row(6, worker="NADIE"), row(7, dest="999"), row(8, horas=-1.0), row(9, precio=-1.0), row(10, noct=-1.0),
+        row(11, tras=-1.0), row(12, motivo=""), row(13, obs=""), row(14, fecha=None), row(15, worker=""), row(16, dest=""),
+    ], FACT_SCHEMA + ", empresa_destino string")
+    names = spark.createDataFrame([("PEPE",)], "nombre_empleado string")
+    codes = spark.createDataFrame([("102",)], "codigo_centro string")
+    got = {(int(r["incidencia_id"]), r["regla"]) for r in domain_violations(raw, names, codes, ("E0",)).collect()}
+    assert got == {
+        (2, "facturable_fuera_de_dominio"), (3, "motivo_fuera_de_dominio"), (4, "empresa_fuera_de_dominio"), (5, "mes_fuera_de_dominio"),
+        (6, "trabajador_desconocido"), (7, "centro_destino_desconocido"), (8, "incidencia_horas_negativo"), (9, "incidencia_precio_negativo"),
+        (10, "nocturnidad_horas_negativo"), (11, "traslados_total_negativo"), (12, "falta_motivo"), (13, "falta_observaciones"),
+        (14, "falta_fecha"), (15, "falta_trabajador"), (16, "falta_codigo_crown_destino")}

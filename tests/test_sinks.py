@@ -5,6 +5,10 @@ import os
 import tempfile
 
 
+import pytest
+from pyspark.errors import AnalysisException
+
+from covercost.operators.joins import last_by
 from covercost.operators import pricing as P
 from covercost.plans.context import context
 from covercost.sources import masters as SM
@@ -77,3 +81,17 @@ def test_load_masters_from_csv(spark):
     with open(os.path.join(d, "bad", "part.csv"), "w") as fh:
         fh.write("x,Descripción,cod_convenio,tarifa_noct\n1,ASL,1,2\n")
     assert SM.load_table(spark, os.path.join(d, "bad"), "tarifas", "csv").count() == 0
+
+
+def test_source_order_over_files_and_required_tables(spark, tmp_path):
+    d = tmp_path / "motivos"
+    d.mkdir()
+    (d / "a.csv").write_text("motivo,desc_cuenta\nX,1\n")
+    (d / "b.csv").write_text("motivo,desc_cuenta\n" + "Y,7\n" * 500 + "X,9\n")  # the larger file comes last
+    t = SM.load_table(spark, f"file://{d}", "motivos", "csv")
+    last = {r["motivo"]: r["desc_cuenta"] for r in last_by(t, ["motivo"], ["row_idx"]).collect()}
+    assert last == {"X": "9", "Y": "7"}
+    with pytest.raises(AnalysisException):
+        SM.load_table(spark, str(tmp_path / "none"), "centros", "csv", required=True)
+    with pytest.raises(ValueError):
+        SM.load_table(spark, str(d), "centros", "csv", required=True)
