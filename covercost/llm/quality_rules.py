@@ -52,7 +52,7 @@ def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         "sort_array(transform(sequence(0, cast(n_words as int) - 3), "
         "i -> struct(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)) as h, i as i)))")))
     f = f.withColumn("_r", F.expr("filter(_h, (x, i) -> x.h <=> get(_h, i - 1).h or x.h <=> get(_h, i + 1).h)"))
-    f = f.withColumn("_l", F.expr(r"filter(split(_t, '\n'), x -> btrim(x, ' \t\n\u000b\f\r') != '')"))
+    f = f.withColumn("_l", F.expr(r"filter(split(_t, '\n'), x -> btrim(x, ' \t\n\u000b\u000c\r') != '')"))
     f = f.withColumns({
         "word_chars": F.length(F.translate("_t", WHITE, "")).cast("long"),
         "n_symbols": (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long"),

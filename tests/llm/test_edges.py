@@ -13,6 +13,14 @@ def test_quality_rules(spark, odd, none):
     assert rows(quality_rules.judge(spark, none)) == []
 
 
+def test_lines_of_f_and_form_feed(spark):
+    body = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, f"{body}\nf\nf\n f f\n f f\n", "en", "a"), (2, f"{body}\n\f\n\f\n\f \v\r\n", "en", "a")], "doc_id long, text string, lang string, source string")
+    names, want = duck({"documents": docs}, quality_rules.oracle())
+    assert rows(quality_rules.judge(spark, docs).select(names)) == want
+    assert rows(quality_rules.judge(spark, docs), ["doc_id", "n_dup_lines"]) == [(1, 2), (2, 0)]
+
+
 def test_near_duplicates(spark, odd, none):
     got = {r.doc_id: r for r in minhash_dedup.near_duplicates(spark, odd).collect()}
     assert minhash_dedup.near_duplicates(spark, odd).count() == len(ODD)
