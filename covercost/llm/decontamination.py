@@ -1,15 +1,25 @@
-"""Operator 10: benchmark passages in training documents, by rare n-gram seeds and Smith-Waterman alignment.
-
-1. One pass over the documents counts in how many of them each benchmark
-   n-gram occurs.  Among every WINDOW neighbouring n-grams of an item the rarest
-   is a seed, so a copy that keeps WINDOW + SEED - 1 words in a row has a seed.
-2. A second pass joins the documents' n-grams to the seeds, opens a window
-   around each diagonal that seeds hit, and aligns the window's words with the
-   item's (Smith-Waterman, linear gaps).  A pair is contaminated when the best
-   local score is at least LEAST_SCORE of the item's score with itself.
+"""Operator 10: benchmark passages in training documents, by n-gram seeds and Smith-Waterman alignment.
+
+1. The words of every item at the offsets of each of SHAPES are its seeds.  A
+   text's words at any of these offsets are looked up among them, so a seed is
+   hit by three words in a row, and across one word that was replaced, put in
+   or left out.
+2. Each diagonal that seeds hit opens a window that holds every alignment good
+   enough to count.  Windows with too few of the item's words to reach
+   LEAST_SCORE are left out (an upper bound, so no result is lost); the words
+   of the others are aligned with the item's (Smith-Waterman, linear gaps).  A
+   pair is contaminated when the best local score is at least LEAST_SCORE of
+   the item's score with itself.
+
+All seeds are used, whatever their frequency.  An alignment of m item words
+without any seed has no three words in a row, and single edits only between
+single words, so each word gains at most 1 net of the edits beside it, and the
+two ends 1 more: its score is at most m + 2 of 2 * m.  A copy of a share over
+0.5 + 1 / m is therefore always aligned; one between that and LEAST_SCORE is
+missed only if its words stand alone or in twos between words put in.
 
 Benchmarks are handled in chunks of items of at most CHUNK_WORDS words; only a
-chunk is broadcast, and each chunk takes two passes, so a benchmark of any size
+chunk is broadcast, and each chunk takes a pass, so a benchmark of any size
 is compared whole.  No document text is shuffled.
 
 Defined cases: null or blank texts and items match nothing; an item of fewer
@@ -28,23 +38,26 @@ from pyspark.sql import functions as F
 
 from covercost.llm.base import NOT_ALNUM, counts_per, mix, slices, stream, table, text_bytes, word_hashes
 
-#: Words of an n-gram, and how many neighbouring n-grams share a seed at least.
-SEED, WINDOW = 3, 4
+#: Words of an n-gram, and their offsets from its first one.
+SEED, SHAPES = 3, ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
-#: Words of benchmark items that are broadcast at once (8 bytes each, and as many n-grams).
+#: Words of benchmark items that are broadcast at once (8 bytes each, and three n-grams of 16).
 CHUNK_WORDS = 1_000_000
 #: Cells of the alignment matrices' rows that are held at once.
 BATCH_CELLS = 1 << 19
 _KEYS = stream(101, SEED)
 
 
-def ngrams(words: np.ndarray) -> np.ndarray:
-    """Hashes of the windows of SEED words."""
-    n = len(words) - SEED + 1
+def ngrams(words: np.ndarray, shape: tuple[int, ...] = SHAPES[0]) -> np.ndarray:
+    """Hashes of the words at ``shape`` from each word on that has them all."""
+    n = len(words) - shape[-1]
     if n <= 0:
         return words[:0]
-    return mix(sum((words[k:k + n] * _KEYS[k] for k in range(SEED)), np.zeros(n, np.uint64)))
+    first, second, third = (words[s:s + n] * k for s, k in zip(shape, _KEYS, strict=True))
+    first += second
+    first += third
+    return mix(first)
 
 
 def tokens(texts: pa.Array):
@@ -53,13 +66,16 @@ def tokens(texts: pa.Array):
     for lo, hi in slices(offsets):
         doc, words, starts, ends = word_hashes(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], NOT_ALNUM)
         bounds = counts_per(doc, hi - lo)
-        grams = ngrams(words)
-        inside = doc[:len(grams)] == doc[SEED - 1:] if len(grams) else np.zeros(0, bool)  # windows don't cross documents
-        at = np.flatnonzero(inside)
+        grams, at = [], []
+        for shape in SHAPES:
+            g = ngrams(words, shape)
+            at.append(np.flatnonzero(doc[:len(g)] == doc[shape[-1]:]) if len(g) else np.zeros(0, np.int64))  # n-grams don't cross documents
+            grams.append(g[at[-1]])
+        grams, at = np.concatenate(grams), np.concatenate(at)
         # code points before each byte; lower-casing keeps their number
         points = np.concatenate(([0], np.cumsum((data[offsets[lo]:offsets[hi]] & 0xC0) != 0x80)))
         zero = points[(offsets[lo:hi] - offsets[lo])[doc]]
-        yield lo, words, bounds, grams[at], doc[at], at, points[starts] - zero, points[ends] - zero
+        yield lo, words, bounds, grams, doc[at], at, points[starts] - zero, points[ends] - zero
 
 
 def lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -86,42 +102,24 @@ def chunks(benchmark: DataFrame):
         yield held
 
 
-def document_counts(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
-    """In how many documents each of the sorted ``keys`` occurs."""
-    shared = docs.sparkSession.sparkContext.broadcast(keys)
-
-    def count(batches):
-        total = np.zeros(len(shared.value), np.int64)
-        for batch in batches:
-            for _, _, _, grams, doc, *_ in tokens(batch.column(0)):
-                k = lookup(shared.value, grams)
-                hit = k >= 0
-                pairs = np.unique(doc[hit] * len(total) + k[hit])
-                total += np.bincount(pairs % max(1, len(total)), minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["k", "n"])
-
-    found = docs.select(F.col("text").cast("string")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(keys), np.int64)
-    for k, n in found.collect():  # at most one row for each n-gram of the chunk
-        out[k] = n
+def sieve(keys: np.ndarray) -> np.ndarray:
+    """A table by the lowest bits of a hash: false where no key has them."""
+    out = np.zeros(1 << max(16, (16 * len(keys)).bit_length()), bool)
+    out[keys & np.uint64(len(out) - 1)] = True
     return out
 
 
-def seeds(items: list[tuple[int, np.ndarray]], docs: DataFrame):
+def seeds(items: list[tuple[int, np.ndarray]]):
     """Sorted seed hashes, and for each the items and word positions where it stands."""
-    grams = [ngrams(w) for _, w in items]
-    keys = np.unique(np.concatenate(grams))
-    counts = document_counts(docs, keys)
     hashes, places = [], []
-    for i, g in enumerate(grams):
-        df = counts[np.searchsorted(keys, g)]
-        picked = {a + int(np.argmin(df[a:a + WINDOW])) for a in range(max(1, len(g) - WINDOW + 1))}
-        for p in sorted(picked):
-            hashes.append(g[p])
-            places.append((i, p))
-    order = np.argsort(np.array(hashes, np.uint64), kind="stable")
-    return np.array(hashes, np.uint64)[order], np.array(places, np.int64)[order]
+    for i, (_, w) in enumerate(items):
+        for shape in SHAPES:
+            g = ngrams(w, shape)
+            hashes.append(g)
+            places.append(np.stack([np.full(len(g), i, np.int32), np.arange(len(g), dtype=np.int32)], axis=1))
+    hashes, places = np.concatenate(hashes), np.concatenate(places)
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], places[order]
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[int, int, int]]:
@@ -155,7 +153,7 @@ def candidates(doc, at, bounds, item, place, lengths):
     start = at - place
     order = np.lexsort((start, item, doc))
     doc, item, start = doc[order], item[order], start[order]
-    slack = 4 + lengths[item] // 4
+    slack = lengths[item]  # an alignment that counts has no more edits than the item has words
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > slack[1:])
     firsts = np.flatnonzero(new)
@@ -166,6 +164,30 @@ def candidates(doc, at, bounds, item, place, lengths):
     return d, i, lo, hi
 
 
+def enough(words, lo, hi, item, lengths, own, times) -> np.ndarray:
+    """Which windows hold so many of their item's words that LEAST_SCORE can be reached at all; ``own``: sorted keys of the items' words, ``times``: how often each stands in its item."""
+    out = np.zeros(len(lo), bool)
+    for k, sizes in slices_of(hi - lo):
+        at = np.repeat(lo[k] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        of = np.repeat(np.arange(len(k)), sizes)
+        found = lookup(own, word_keys(words[at], item[k][of]))
+        pairs, n = np.unique((of * len(own) + found)[found >= 0], return_counts=True)
+        shared = np.bincount(pairs // len(own), np.minimum(n, times[pairs % len(own)]), len(k))
+        out[k] = MATCH * shared >= LEAST_SCORE * MATCH * lengths[item[k]]
+    return out
+
+
+def word_keys(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return mix(words + mix(item.astype(np.uint64) + np.uint64(1)))
+
+
+def slices_of(sizes: np.ndarray):
+    """(indices, their sizes) of neighbours of at most BATCH_CELLS together; a larger one comes alone."""
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    for a, b in slices(ends, BATCH_CELLS):
+        yield np.arange(a, b), sizes[a:b]
+
+
 FOUND = "doc_id long, item_id long, score double, first_char long, end_char long"
 
 
@@ -173,18 +195,23 @@ def aligned(texts: pa.Array, model) -> list[tuple[int, int, float, int, int]]:
     """(row, item index, share of the item's own score, first and end code point) of each item in each text, at its best copy."""
     keys, places, _, items = model
     distinct, first = np.unique(keys, return_index=True)
+    sift = sieve(distinct)
     each = np.diff(np.append(first, len(keys)))
     lengths = np.array([len(w) for w in items])
+    own, times_own = np.unique(word_keys(np.concatenate(items), np.repeat(np.arange(len(items)), lengths)), return_counts=True)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for lo, words, bounds, grams, doc, at, begins, ends in tokens(texts):
-        k = lookup(distinct, grams)
-        hit = np.flatnonzero(k >= 0)
+        hit = np.flatnonzero(sift[grams & np.uint64(len(sift) - 1)])
+        k = lookup(distinct, grams[hit])
+        hit, k = hit[k >= 0], k[k >= 0]
         if not len(hit):
             continue
-        times = each[k[hit]]
-        which = np.repeat(first[k[hit]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        times = each[k]
+        which = np.repeat(first[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         hit = np.repeat(hit, times)
         d, i, a, b = candidates(doc[hit], at[hit], bounds, places[which, 0], places[which, 1], lengths)
+        fit = enough(words, a, b, i, lengths, own, times_own)
+        d, i, a, b = d[fit], i[fit], a[fit], b[fit]
         order = np.argsort(b - a, kind="stable")
         while len(order):
             take = 1
@@ -198,17 +225,17 @@ def aligned(texts: pa.Array, model) -> list[tuple[int, int, float, int, int]]:
     return [(*pair, *x) for pair, x in best.items()]
 
 
-def models(spark: SparkSession, docs: DataFrame, benchmark: DataFrame):
+def models(spark: SparkSession, benchmark: DataFrame):
     """A broadcast (seeds, their places, item ids, item words) for each chunk of the benchmark."""
     for items in chunks(benchmark):
-        yield spark.sparkContext.broadcast((*seeds(items, docs), [i for i, _ in items], [w for _, w in items]))
+        yield spark.sparkContext.broadcast((*seeds(items), [i for i, _ in items], [w for _, w in items]))
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that align: doc_id, item_id, score (share of the item's own), and the best copy's code points."""
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     found = spark.createDataFrame([], FOUND)
-    for model in models(spark, docs, benchmark):
+    for model in models(spark, benchmark):
 
         def search(batches, model=model):
             for batch in batches:
@@ -226,7 +253,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item; columns stay as they are."""
     at, kept = docs.columns.index("text"), docs
-    for model in models(spark, docs, benchmark):
+    for model in models(spark, benchmark):
 
         def clean(batches, model=model):
             for batch in batches:

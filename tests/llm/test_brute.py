@@ -96,6 +96,28 @@ def test_alignment_of_edited_copies(spark):
     assert set(found) == {1, 3} and found[3] == 1.0 and found[1] > 0.6
 
 
+def test_every_copy_that_aligns_is_found(spark):
+    """Lone copies with every n-th word replaced, left out or doubled, against the alignment of all pairs."""
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    items = {k: [word() for _ in range(n)] for k, n in enumerate((15, 24, 30, 37, 45, 59) * 4)}
+    texts = {}
+    for k, item in items.items():
+        for every in (3, 4, 5, 6):
+            kinds = (lambda w: [word()], lambda w: [], lambda w: [w, word()])
+            edited = [x for j, w in enumerate(item) for x in (kinds[k % 3](w) if j % every == every - 1 else [w])]
+            texts[len(texts)] = [word() for _ in range(80)] + edited + [word() for _ in range(80)]
+    words = lambda t: next(decontamination.tokens(pa.array([" ".join(t)])))[1]
+    own, want = [words(x) for x in items.values()], set()
+    for d, t in texts.items():
+        for k, (s, _, _) in enumerate(decontamination.align(own, [words(t)] * len(own))):
+            if s >= decontamination.LEAST_SCORE * decontamination.MATCH * len(own[k]):
+                want.add((d, k, s / (decontamination.MATCH * len(own[k]))))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    found = decontamination.contaminated(spark, docs, spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string"))
+    assert len(want) >= 90 and {(r.doc_id, r.item_id, r.score) for r in found.collect()} == want
+
+
 def accuracy(df, labels, column):
     return [(r.predicted == r[column]) for r in df.where("held_out").join(labels.where(f"{column} is not null"), "doc_id").collect()]
 
