@@ -133,6 +133,21 @@ def test_held_out(spark):
     assert np.mean([b > f for b in bad for f in fine]) > 0.85
 
 
+def test_language_models_are_whole_in_shards(spark, monkeypatch):
+    docs = table(spark, SMALL, "documents")
+    few = docs.where("lang is not null").limit(1).selectExpr("doc_id * 0 + 3 doc_id", "'qq' lang", "'ʘǃ ʘǂǃ ǁǀ ʘǃ ʘǂǃ' text")  # a small language of its own letters
+    docs = docs.select("doc_id", "lang", "text").union(few)
+    columns = ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"]
+    whole = rows(language_id.identify(spark, docs), columns)
+    found = language_id.stage(spark, language_id.counts(docs.where("lang is not null and text is not null").select("lang", "text")), "char-grams")
+    langs = sorted(r.lang for r in found.select("lang").distinct().collect())
+    monkeypatch.setattr(language_id, "MODEL_CELLS", len(langs) * found.count() // 5)
+    assert len(list(language_id.shards(found, langs))) > 3
+    cut = rows(language_id.identify(spark, docs), columns)
+    assert [(r[0], r[1], r[4]) for r in cut] == [(r[0], r[1], r[4]) for r in whole] and any(r[1] == "qq" for r in cut)
+    assert np.allclose([r[2:4] for r in cut], [r[2:4] for r in whole], equal_nan=True)
+
+
 def test_pipeline(spark, encoding):
     """run() against the stages done one by one, each by SQL or brute force."""
     docs, benchmark = table(spark, SMALL, "documents"), table(spark, SMALL, "benchmark")
