@@ -138,8 +138,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 #: Rows that a comparison task holds of one side; larger groups are compared block by block.
 BLOCK = 2048
-#: Pairs whose estimated similarity is lower are not compared on full sets; a pair at 0.85 falls below it with a probability of about 1e-7.
-LEAST_ESTIMATE = 0.70
+#: Pairs whose estimated similarity is lower are not compared on full sets; by a binomial model a pair at 0.85 falls below it far less often than it shares no band.
+LEAST_ESTIMATE = 0.60
 
 
 def by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

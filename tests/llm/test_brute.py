@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips, SQL and held-out accuracy."""
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -78,6 +79,12 @@ def test_minhash_is_unbiased():
     assert abs((sig[0] == sig[1]).mean() - 0.75) < 0.12
 
 
+def test_estimates_lose_less_than_bands():
+    n, p = minhash_dedup.SLOTS, minhash_dedup.PERCENT / 100
+    below = sum(math.comb(n, k) * p**k * (1 - p)**(n - k) for k in range(n + 1) if k / n < minhash_dedup.LEAST_ESTIMATE)
+    assert below < (1 - p**minhash_dedup.ROWS)**minhash_dedup.BANDS
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     tables = {t: table(spark, SMALL, t) for t in ("documents", "pages")}
