@@ -85,13 +85,23 @@ def from_word(k: int):
 
 def positions(spark: SparkSession) -> DataFrame:
     """A row for each gram of each template: its hash, words, template and position; and one for the texts themselves."""
-    rows = [(t, label, phrase, k, need, len(words) - k + 1, q, words[q:q + k]) for t, label, phrase, words, k, need in templates() for q in range(len(words) - k + 1)]
-    rows.append((TEXT, None, False, 0, 0, 1, 0, []))
-    t = spark.createDataFrame(rows, "template int, label string, phrase boolean, k int, need int, grams int, q int, gram array<string>")
+    names = ("template", "label", "phrase", "words", "k", "need")
+    rows = [*templates(), (TEXT, None, False, [], 0, 1)]
+    fixed = F.array(*(F.struct(*(literal(v).alias(c) for c, v in zip(names, row, strict=True))) for row in rows))
+    t = spark.range(1).select(F.inline(fixed))  # built in the JVM
+    t = t.select("template", "label", "phrase", "k", "need", F.greatest(F.size("words") - F.col("k") + 1, F.lit(1)).alias("grams"), "words")
+    t = t.select("*", F.explode(F.sequence(F.lit(0), F.col("grams") - 1)).alias("q"))
+    t = t.withColumn("gram", F.slice("words", F.col("q") + 1, "k")).drop("words")
     own = {k: gram_hash(k, *(F.get("gram", i) for i in range(k))) for k in (PHRASE_K, NOTICE_K)}
     return t.withColumn("hash", F.when(F.col("k") == 0, F.lit(0)).when(F.col("k") == PHRASE_K, own[PHRASE_K]).otherwise(own[NOTICE_K]))
 
 
+def literal(value):
+    if isinstance(value, list):
+        return F.array(*map(F.lit, value)).cast("array<string>")
+    return F.lit(value).cast("string") if value is None else F.lit(value)
+
+
 def hits(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Equal grams of texts and templates, with the word ``p`` of the text; and one row a text with template TEXT."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
