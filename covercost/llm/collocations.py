@@ -1,8 +1,8 @@
 """Operator 12: frequent phrases of two to four words, from a weighted de Bruijn graph of their words.
 
-1. A table of hash slots counts every word and every neighbouring pair (slices of
-   it are counted in the tasks, added up slot by slot).  A word or pair whose
-   slot stays under LEAST is certainly rarer than LEAST, and no phrase that
+1. A table of hash slots counts every word and every neighbouring pair (in each
+   task, then added up slot by slot).  A word or pair whose slot stays under
+   LEAST is certainly rarer than LEAST, and no phrase that
    holds it can be a candidate.  Only one bit a slot is broadcast; shared slots
    let rare pairs through and never stop a frequent one.
 2. Each word opens its longest gram: up to four words, ended by the piece or by
@@ -83,16 +83,16 @@ def pair_hashes(words: np.ndarray) -> np.ndarray:
     return mix(words * _FIRST + after * _SECOND)
 
 
-def frequent(docs: DataFrame, slots: int) -> np.ndarray:
-    """One bit a slot: whether its words and pairs together come to LEAST."""
-    mask = np.uint64(slots - 1)
+def frequent(docs: DataFrame, slots: int, least: int = LEAST) -> np.ndarray:
+    """One bit a slot: whether its words and pairs together come to ``least`` (or to 255, which is as good a sieve)."""
+    mask, most = np.uint64(slots - 1), np.uint8(min(least, 255))
 
     def count(batches):
-        counts = np.zeros(slots, np.uint8)  # up to LEAST is enough to know
+        counts = np.zeros(slots, np.uint8)  # counting stops at ``most``
         for batch in batches:
             for _, _, words, same in words_of(batch.column(0), batch.column(1)):
                 at, n = np.unique(np.concatenate([words, pair_hashes(words)[same]]) & mask, return_counts=True)
-                counts[at] = np.minimum(counts[at] + n, LEAST)
+                counts[at] = np.minimum(counts[at] + n, most)
         for block in range(0, slots, BLOCK):
             at = np.flatnonzero(counts[block:block + BLOCK])
             if len(at):
@@ -106,9 +106,9 @@ def frequent(docs: DataFrame, slots: int) -> np.ndarray:
                 raw = np.frombuffer(packed.as_buffer(), np.uint8)
                 at, n = raw[:len(raw) // 3 * 2].view(np.uint16), raw[len(raw) // 3 * 2:]
                 held = sums.setdefault(block, np.zeros(BLOCK, np.uint8))
-                held[at] = np.minimum(held[at] + n, LEAST)
+                held[at] = np.minimum(held[at].astype(np.uint16) + n, most)
         for block, held in sums.items():
-            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([np.packbits(held >= LEAST).tobytes()], pa.binary())], names=["block", "bits"])
+            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([np.packbits(held >= most).tobytes()], pa.binary())], names=["block", "bits"])
 
     sums = docs.mapInArrow(count, "block int, packed binary").repartition("block").mapInArrow(add, "block int, bits binary")
     out = np.zeros((max(1, slots // BLOCK), BLOCK // 8), np.uint8)
@@ -195,11 +195,11 @@ def paths(spark: SparkSession, edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
-    """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score.  ``least`` must not be under LEAST, which the slots hold."""
+    """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score. """
     docs = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (size // BYTES_PER_SLOT).bit_length()))
-    bits = spark.sparkContext.broadcast(frequent(docs, slots))
+    bits = spark.sparkContext.broadcast(frequent(docs, slots, least))
     grams = stage(spark, longest_grams(docs, bits), "collocation-grams")
     levels = [x.where(F.col("n") >= least) for x in counts(grams)]
     levels = [x.withColumn("k", F.lit(k)) for k, x in enumerate(levels, 1)]

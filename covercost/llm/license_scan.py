@@ -41,8 +41,6 @@ NOTICES = (
      "You may obtain a copy of the License at", "apache"),
     ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
      "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl"),
-    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
-     "published by the Free Software Foundation", "lgpl"),
     ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
      "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "bsd"),
     ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
