@@ -123,6 +123,9 @@ EDIT_HIDDEN = ("Cod_reg_convenio", "Categoría", "Centro preferente", "Coste hor
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_ROWS_CONF = "covercost.broadcast.maxRows"
 
-# Page slices up to this offset use a bounded top-k; deeper pages use the
-# distributed numbering.
-TOPK_PAGE_OFFSET_LIMIT = 10_000
+# Rows of a slice when a large group is numbered (some tens of megabytes of
+# incidents), how many rows' keys are splitters at most, all groups together
+# (a few megabytes), and the branching of the two levels they are looked up in.
+SLICE_ROWS = 262_144
+MOST_SPLITTERS = 65_536
+FANOUT = 128

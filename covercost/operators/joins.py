@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from covercost.constants import FANOUT, MOST_SPLITTERS, SLICE_ROWS
 from covercost.session import ensure_checkpoint_dir, max_broadcast_rows, num_partitions
 
 
@@ -94,31 +95,71 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def number_within(df: DataFrame, keys: list[str], order: list[str], name: str = "seq") -> DataFrame:
+def splitters(rows: DataFrame, slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Splitters of the large groups ``_g`` of rows (_g, _at): every FANOUT-th as an array, and those between by the number ``_c`` of the former before them.
+
+    A row is sampled when a hash of its order columns falls on one of
+    ``slice_rows`` values; of all sampled rows those of the MOST_SPLITTERS
+    smallest hashes count.  So the summary depends on the rows alone (not on
+    partitions, the order of tasks or how often it is computed), summaries of
+    parts merge into that of the whole, and its size is bounded.  A group
+    keeps at most FANOUT * FANOUT - 1 evenly spaced splitters; one without a
+    sampled row has none and stays one slice.
+    """
+    drawn = rows.withColumn("_h", F.xxhash64("_at")).where(F.pmod("_h", F.lit(slice_rows)) == 0).distinct()
+    drawn = drawn.orderBy("_h", "_g", "_at").limit(MOST_SPLITTERS)
+    by_group = Window.partitionBy("_g")
+    every = F.ceil(F.count(F.lit(1)).over(by_group) / F.lit(FANOUT * FANOUT - 1)).cast("long")
+    drawn = drawn.select("*", F.row_number().over(by_group.orderBy("_at")).alias("_k"), every.alias("_every"))
+    fixed = drawn.where(F.col("_k") % F.col("_every") == 0).withColumn("_k", F.row_number().over(by_group.orderBy("_at")))
+    at = F.array_sort(F.collect_list("_at")).alias("_splits")
+    every_nth = fixed.where(F.col("_k") % FANOUT == 0).groupBy("_g").agg(at)
+    between = fixed.where(F.col("_k") % FANOUT != 0).groupBy("_g", F.floor(F.col("_k") / FANOUT).cast("int").alias("_c")).agg(at)
+    return every_nth, between
+
+
+def _not_above(splits: str, at: str) -> Column:
+    """How many elements of a sorted array (fewer than FANOUT) aren't above ``at``, by halving; 0 for a null array."""
+    halves = F.array(*[F.lit(FANOUT >> k) for k in range(1, FANOUT.bit_length())])
+    found = F.aggregate(halves, F.lit(0), lambda n, half: n + F.when(F.get(splits, n + half - 1) <= F.col(at), half).otherwise(0))
+    return F.coalesce(found, F.lit(0))  # never null, which spares a join on it a filter that would search again
+
+
+def in_slices(rows: DataFrame, split: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``rows`` (with _g and _at) and their ``_slice``: how many splitters of the group aren't above the row."""
+    coarse, fine = (s.withColumnsRenamed({"_g": "_s_g", "_c": "_s_c"}) for s in split)  # at most MOST_SPLITTERS splitters
+    df = rows.join(F.broadcast(coarse), F.col("_g") == F.col("_s_g"), "left")
+    df = df.withColumn("_c", _not_above("_splits", "_at")).drop("_s_g", "_splits")
+    df = df.join(F.broadcast(fine), (F.col("_g") == F.col("_s_g")) & (F.col("_c") == F.col("_s_c")), "left")
+    return df.withColumn("_slice", F.col("_c") * FANOUT + _not_above("_splits", "_at")).drop("_c", "_s_g", "_s_c", "_splits")
+
+
+def number_within(df: DataFrame, keys: list[str], order: list[str], name: str = "seq",
+                  slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Row number 1..n inside each ``keys`` group in ``order``, for groups of any size.
 
     A window partitioned by the group would send a whole group to one task.
-    Instead the rows are range-partitioned and sorted on (keys, order) – a hot
-    group is spread over many tasks – and tagged with partition id and
-    position.  Per (partition, group) counts give each slice its offset; the
-    small offset table is joined back.  ``order`` must make rows unique.
+    Instead the splitters cut a large group into slices of about
+    ``slice_rows`` rows; a row's number is the count of rows in the slices
+    before plus its rank in its own.  The splitters depend on the rows alone,
+    so the plan is lazy: nothing runs or is written while it is built, and a
+    lost executor's rows come out the same.  Only keys are read for splitters
+    and counts, and the rows are shuffled once, by slice.  Columns that joins
+    add to each row are better added afterwards.
+
+    Rows that are equal in ``order`` are numbered in any order; nulls come first.
     """
-    sort_cols = [*keys, *order]
-    tagged = (df.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id()))
-    tagged = materialize(tagged, "numbered")
-    stats = tagged.groupBy("_pid", *keys).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    side = sized_side(stats.select(F.col("_pid").alias("_spid"), *[F.col(k).alias(f"_s_{k}") for k in keys],
-                                   "_first", "_before"))
-    cond = F.col("_pid") == F.col("_spid")
-    for k in keys:  # null-safe: a null scope is still a group
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-    out = tagged.join(side, cond)
-    return (out.withColumn(name, (F.col("_pos") - F.col("_first") + 1 + F.col("_before")).cast("bigint"))
-            .drop("_pid", "_pos", "_first", "_before", "_spid", *[f"_s_{k}" for k in keys]))
+    # a struct is never null and equals one with the same nulls: a null scope is still a group
+    group, at = F.struct(*keys).alias("_g"), (F.col(order[0]) if len(order) == 1 else F.struct(*order)).alias("_at")
+    own = df.select(group, at)
+    split = splitters(own, slice_rows)
+    counts = in_slices(own, split).groupBy("_g", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("_g").alias("_b_g"), F.col("_slice").alias("_b_slice"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_g", "_slice").orderBy("_at"))
+    out = in_slices(df.select("*", group, at), split).withColumn("_rank", rank)
+    out = out.join(counts, (F.col("_g") == F.col("_b_g")) & (F.col("_slice") == F.col("_b_slice")))
+    return out.select(*df.columns, (F.col("_before") + F.col("_rank")).cast("bigint").alias(name))
 
 
 def null_if_blank(c: Column) -> Column:

@@ -20,7 +20,7 @@ from covercost.operators import masters as M
 from covercost.operators import pricing as P
 from covercost.operators import quality as Q
 from covercost.operators import report as R
-from covercost.operators.enrich import FACT_COLUMNS
+from covercost.operators.enrich import FACT_COLUMNS, enrich
 from covercost.plans.context import context
 from covercost.sources import fixtures as fx
 from covercost.sources import masters as SM
@@ -238,11 +238,13 @@ def edit_view(spark, d):
 
 
 def paged_incidents(spark, d):
-    return R.paged_incidents(context(spark, d).facts)
+    c = context(spark, d)
+    return enrich(R.paged_incidents(c.incidencias), c.masters)
 
 
 def page_slice(spark, d):
-    return R.page_slice(context(spark, d).facts, "SUP1", MONTHS[2], page=2)
+    c = context(spark, d)
+    return R.page_slice(c.facts, R.page_index(c.incidencias), "SUP1", MONTHS[2], page=2)
 
 
 def page_counts(spark, d):

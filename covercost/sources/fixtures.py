@@ -113,7 +113,9 @@ def incidencias(spark: SparkSession, sf_dir: str) -> DataFrame:
     worker_key = F.when(cust % 10 == 9, cust - 9).otherwise(cust)
     prio = F.col("o_orderpriority")
     flag = F.col("l_returnflag")
-    return (li.join(o, li.l_orderkey == o.o_orderkey)
+    # Two large tables: joined by a shuffle at any size, which also spreads a
+    # line-item file of a single row group over the session's partitions.
+    return (li.join(o.hint("merge"), li.l_orderkey == o.o_orderkey)
             .select(
                 F.concat_ws("-", _s(F.col("l_orderkey")), _s(F.col("l_linenumber")), _s(F.col("l_partkey")),
                             _s(F.col("l_suppkey")), _s(F.col("l_quantity").cast("int")), _s(ship)).alias("incidencia_id"),
