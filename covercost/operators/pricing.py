@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covercost.constants import ACCOUNT_COLUMNS, EXPORT_FIELDS, NIGHT_COLUMN, SS_FACTOR, TOTAL_COLUMN
+from covercost.functions import exact
 from covercost.functions import normalize as N
+from covercost.operators.edits import apply_edits
 from covercost.operators.enrich import FACT_COLUMNS
 from covercost.operators.joins import null_if_blank
 from covercost.operators.masters import Masters
@@ -14,11 +16,12 @@ from covercost.operators.quality import valid_incidents
 
 SCOPE = ("session_jefe", "imputacion_nomina")
 
-# Exact decimal types for scope totals (sums must not depend on row order).
-D_QTY = "decimal(18,4)"
-D_RATE = "decimal(18,6)"
-D_SUM = "decimal(30,10)"
-D_FACTOR = "decimal(5,4)"
+# The products behind the totals, summed exactly (see functions.exact).
+PRODUCTS = {
+    "total_incidencias": ("incidencia_precio", "incidencia_horas"),
+    "total_nocturnidad": ("precio_nocturnidad", "nocturnidad_horas"),
+    "total_traslados": ("traslados_total", "coste_hora"),
+}
 
 
 def with_night_rate(facts: DataFrame, m: Masters, out: str = "precio_nocturnidad") -> DataFrame:
@@ -102,20 +105,24 @@ def _z(c: str) -> Column:
 TOTAL_NAMES = ("total_incidencias", "total_nocturnidad", "total_traslados", "total_simple", "total_con_ss")
 
 
-def totals_decimal(factor: float = SS_FACTOR) -> list[Column]:
-    """The five totals as exact decimals (sums do not depend on row order)."""
-    inc = F.sum(_z("incidencia_precio").cast(D_QTY) * _z("incidencia_horas").cast(D_QTY)).cast(D_SUM)
-    noct = F.sum(_z("precio_nocturnidad").cast(D_RATE) * _z("nocturnidad_horas").cast(D_QTY)).cast(D_SUM)
-    tras = F.sum(_z("traslados_total").cast(D_QTY) * _z("coste_hora").cast(D_RATE)).cast(D_SUM)
-    zero = F.lit(0).cast(D_SUM)
-    inc, noct, tras = F.coalesce(inc, zero), F.coalesce(noct, zero), F.coalesce(tras, zero)
-    exprs = (inc, noct, tras, inc + noct + tras, (inc + noct) * F.lit(str(factor)).cast(D_FACTOR) + tras)
-    return [e.alias(n) for e, n in zip(exprs, TOTAL_NAMES)]
+def total_parts(priced: DataFrame, keys: list[str]) -> DataFrame:
+    """Row count and exact partial sums of priced incidents by ``keys``; null and NaN factors count as 0."""
+    factors = {c for pair in PRODUCTS.values() for c in pair}
+    clean = priced.select(*keys, *[_z(c).alias(c) for c in sorted(factors)])
+    return exact.with_pieces(clean, PRODUCTS).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_validas"), *exact.sums(PRODUCTS))
 
 
-def totals_columns(factor: float = SS_FACTOR) -> list[Column]:
-    """The five totals as doubles, converted from the exact decimal sums."""
-    return [c.cast("double").alias(n) for c, n in zip(totals_decimal(factor), TOTAL_NAMES)]
+def merged_parts(parts: DataFrame, keys: list[str], sign: Column | None = None) -> DataFrame:
+    """Partial sums added up by ``keys``, each row with its ``sign`` (1 or -1) if given."""
+    n = F.col("n_validas") if sign is None else F.col("n_validas") * sign
+    return parts.groupBy(*keys).agg(F.sum(n).alias("n_validas"), *exact.sums(PRODUCTS, sign))
+
+
+def totals_of(parts: DataFrame, factor: float = SS_FACTOR) -> DataFrame:
+    """The five totals as doubles, each rounded once from its exact sums."""
+    inc, noct, tras = (F.col(c) for c in PRODUCTS)
+    return exact.with_values(parts, PRODUCTS).withColumns(
+        {"total_simple": inc + noct + tras, "total_con_ss": (inc + noct) * F.lit(factor) + tras})
 
 
 def scope_gate(df: DataFrame) -> DataFrame:
@@ -123,22 +130,44 @@ def scope_gate(df: DataFrame) -> DataFrame:
     return df.filter(~N.is_blank("session_jefe") & ~N.is_blank("imputacion_nomina"))
 
 
+def priced(facts: DataFrame, m: Masters) -> DataFrame:
+    """The valid incidents of sessions with a supervisor and month, with their night rates."""
+    return with_night_rate(valid_incidents(scope_gate(facts)), m)
+
+
 def summary_by_scope(facts: DataFrame, m: Masters, factor: float = SS_FACTOR) -> DataFrame:
     """Five cost totals of the valid incidents of every (supervisor session, month)."""
-    v = with_night_rate(valid_incidents(scope_gate(facts)), m)
-    return v.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n_validas"), *totals_columns(factor))
+    return totals_of(total_parts(priced(facts, m), list(SCOPE)), factor)
 
 
 def summary_totals(facts: DataFrame, m: Masters, factor: float = SS_FACTOR) -> DataFrame:
     """The five totals over all valid incidents (one row)."""
-    v = with_night_rate(valid_incidents(facts), m)
-    return v.agg(F.count(F.lit(1)).alias("n_validas"), *totals_columns(factor))
+    return totals_of(total_parts(with_night_rate(valid_incidents(facts), m), []), factor)
 
 
 def summary_formatted(facts: DataFrame, m: Masters, factor: float = SS_FACTOR) -> DataFrame:
-    """Totals per scope as money text (``€1,234.50``), rounded from the exact sums."""
-    v = with_night_rate(valid_incidents(scope_gate(facts)), m)
-    return v.groupBy(*SCOPE).agg(*[N.money(c).alias(n) for c, n in zip(totals_decimal(factor), TOTAL_NAMES)])
+    """Totals per scope as money text (``€1,234.50``)."""
+    return summary_by_scope(facts, m, factor).select(*SCOPE, *[N.money(F.col(c).try_cast("decimal(38,10)")).alias(c) for c in TOTAL_NAMES])
+
+
+def edit_deltas(before: DataFrame, edits: DataFrame, m: Masters) -> DataFrame:
+    """What edits and deletions change in the partial sums of each scope.
+
+    ``before``: the incidents as they are kept, of which only the edited ones
+    are looked at.  Their old shares count with -1, their new ones with 1; as
+    the sums are exact, adding a delta to kept sums gives those of a new count.
+    """
+    touched = before.join(edits.select("incidencia_id").distinct(), "incidencia_id", "left_semi").select(*before.columns)
+    after = apply_edits(touched, edits, m)
+    old = total_parts(priced(touched, m), list(SCOPE)).withColumn("_sign", F.lit(-1))
+    new = total_parts(priced(after, m), list(SCOPE)).withColumn("_sign", F.lit(1))
+    return merged_parts(old.unionByName(new), list(SCOPE), F.col("_sign"))
+
+
+def totals_after(parts: DataFrame, deltas: DataFrame, factor: float = SS_FACTOR) -> DataFrame:
+    """Totals of kept partial sums with their deltas; scopes without valid incidents are left out."""
+    now = merged_parts(parts.unionByName(deltas), list(SCOPE)).where("n_validas > 0")
+    return totals_of(now, factor)
 
 
 def distinct_rate_keys(facts: DataFrame, m: Masters) -> DataFrame:

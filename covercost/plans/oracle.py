@@ -13,6 +13,8 @@ from covercost.constants import (ACCOUNT_COLUMNS,
                                  VIEW_FIELDS, VIEW_NUMBERS, VIEW_TEXT,
                                  MISSING_FIELD_LABELS, MONTHS, MOTIVO_VALUES, REQUIRED_FIELDS, ROWS_PER_PAGE,
                                  SS_FACTOR)
+from covercost.functions import exact
+from covercost.operators.pricing import PRODUCTS, TOTAL_NAMES
 from covercost.sources.fixtures import MOTIVOS_ROWS
 
 
@@ -272,17 +274,29 @@ cte("rated_valid", f"select f.*, coalesce(t.tarifa, 0.0) as precio_nocturnidad f
 cte("rated_facts", f"select f.*, coalesce(t.tarifa, 0.0) as precio_nocturnidad from facts f {_RATE_JOIN}",
     "facts", "tariff_dim")
 
-_D_QTY, _D_RATE, _D_SUM = "decimal(18,4)", "decimal(18,6)", "decimal(30,10)"
-_SUMS = f"""count(*) as n_validas,
-  coalesce(cast(sum(cast({z('incidencia_precio')} as {_D_QTY}) * cast({z('incidencia_horas')} as {_D_QTY})) as {_D_SUM}), 0) as s_inc,
-  coalesce(cast(sum(cast({z('precio_nocturnidad')} as {_D_RATE}) * cast({z('nocturnidad_horas')} as {_D_QTY})) as {_D_SUM}), 0) as s_noct,
-  coalesce(cast(sum(cast({z('traslados_total')} as {_D_QTY}) * cast({z('coste_hora')} as {_D_RATE})) as {_D_SUM}), 0) as s_tras"""
-_TOTALS = f"""cast(s_inc as double) as total_incidencias, cast(s_noct as double) as total_nocturnidad,
-  cast(s_tras as double) as total_traslados, cast(s_inc + s_noct + s_tras as double) as total_simple,
-  cast((s_inc + s_noct) * cast('{SS_FACTOR}' as decimal(5,4)) + s_tras as double) as total_con_ss"""
+# Exact sums: no factor is rounded before it is multiplied (functions.exact, with DuckDB's rounding and shift).
+_SHIFT = "({} >> {})"
+_FACTORS = sorted({c for pair in PRODUCTS.values() for c in pair})
+_CLEAN = ", ".join(f"{z(c)} as {c}" for c in _FACTORS)
+_PIECES = [(c, sql) for name, (a, b) in PRODUCTS.items() for c, sql in exact.pieces_sql(a, b, name, "round_even({}, 0)")]
+_SUMS = "count(*) as n_validas, " + ", ".join(
+    f"coalesce(sum({c}), 0)::{'double' if c.endswith('_x') else 'bigint'} as {c}" for c, _ in _PIECES)
+_VALUES = ", ".join(f"{exact.value_sql(name, _SHIFT)} as {name}" for name in PRODUCTS)
+_TOTALS = f"""total_incidencias, total_nocturnidad, total_traslados,
+  total_incidencias + total_nocturnidad + total_traslados as total_simple,
+  (total_incidencias + total_nocturnidad) * {SS_FACTOR}e0 + total_traslados as total_con_ss"""
 
-cte("scope_sums", f"""select {SCOPE}, {_SUMS} from rated_valid
-where coalesce(session_jefe, '') <> '' and coalesce(imputacion_nomina, '') <> '' group by {SCOPE}""", "rated_valid")
+
+def _sums_of(rows: str, by: str = "") -> str:
+    """Totals of priced rows, of all or by scope."""
+    pieces = ", ".join(f"{sql} as {c}" for c, sql in _PIECES)
+    on = f"{by}, " if by else ""
+    return f"""select {on}n_validas, {_VALUES} from (select {on}{_SUMS} from (select {on}{pieces} from (
+      select {on}{_CLEAN} from {rows})){f' group by {by}' if by else ''})"""
+
+
+_GATED = "(select * from {} where coalesce(session_jefe, '') <> '' and coalesce(imputacion_nomina, '') <> '')"
+cte("scope_totals", _sums_of(_GATED.format("rated_valid"), SCOPE), "rated_valid")
 
 cte("costed", f"""
 select f.*, coalesce(a.cuenta_codigo, 'Otros') as cuenta_codigo,
@@ -491,14 +505,13 @@ def oracle_sql() -> dict[str, str]:
     out["row_cost"] = with_ctes(f"""select incidencia_id, precio_nocturnidad * nocturnidad_horas as {q('74_plus_nocturnidad')},
         (incidencia_horas * incidencia_precio + nocturnidad_horas * precio_nocturnidad) * cast({SS_FACTOR} as double)
           + traslados_total as {q('Coste_total')} from rated_valid""", "rated_valid")
-    out["summary_by_scope"] = with_ctes(f"select {SCOPE}, n_validas, {_TOTALS} from scope_sums", "scope_sums")
-    out["summary_totals"] = with_ctes(f"select n_validas, {_TOTALS} from (select {_SUMS} from rated_valid)",
-                                      "rated_valid")
-    exact = {"total_incidencias": "s_inc", "total_nocturnidad": "s_noct", "total_traslados": "s_tras",
-             "total_simple": "s_inc + s_noct + s_tras",
-             "total_con_ss": f"(s_inc + s_noct) * cast('{SS_FACTOR}' as decimal(5,4)) + s_tras"}
-    money = ", ".join(f"'€' || printf('%,.2f', cast({e} as decimal(38,2))) as {n}" for n, e in exact.items())
-    out["summary_formatted"] = with_ctes(f"select {SCOPE}, {money} from scope_sums", "scope_sums")
+    out["summary_by_scope"] = with_ctes(f"select {SCOPE}, n_validas, {_TOTALS} from scope_totals", "scope_totals")
+    out["summary_totals"] = with_ctes(f"select n_validas, {_TOTALS} from ({_sums_of('rated_valid')})", "rated_valid")
+    money = ", ".join(f"'€' || printf('%,.2f', printf('%.10f', {n})::decimal(38,10)::decimal(38,2)) as {n}" for n in TOTAL_NAMES)
+    out["summary_formatted"] = with_ctes(f"select {SCOPE}, {money} from (select {SCOPE}, {_TOTALS} from scope_totals)", "scope_totals")
+    edited = f"(select f.*, coalesce(t.tarifa, 0.0) as precio_nocturnidad from (select * from applied where {VALID}) f {_RATE_JOIN})"
+    out["totals_after_edits"] = with_ctes(f"select {SCOPE}, n_validas, {_TOTALS} from ({_sums_of(_GATED.format(edited), SCOPE)})",
+                                          "applied", "tariff_dim")
     out["incident_counts"] = with_ctes(f"""select {SCOPE}, count(*) as n_total, count_if({VALID}) as n_validas,
         count(*) - count_if({VALID}) as n_incompletas from facts group by {SCOPE}""", "facts")
     out["scopes_without_valid"] = with_ctes(f"""select {SCOPE}, count(*) as n_total, count_if({VALID}) as n_validas,

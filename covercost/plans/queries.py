@@ -7,6 +7,7 @@ projections) and runs one operator of the pipeline over whole tables.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,9 @@ from covercost.operators import quality as Q
 from covercost.operators import report as R
 from covercost.operators.enrich import FACT_COLUMNS, enrich
 from covercost.plans.context import context
+from covercost.session import ensure_checkpoint_dir
 from covercost.sources import fixtures as fx
+from covercost.sources import kept as K
 from covercost.sources import masters as SM
 from covercost.sources import sinks as S
 
@@ -188,6 +191,13 @@ def summary_formatted(spark, d):
     return P.summary_formatted(c.facts, c.masters)
 
 
+def totals_after_edits(spark, d):
+    """Totals of all sessions, brought up to date from the edited incidents alone."""
+    c = context(spark, d)
+    kept = P.total_parts(P.priced(c.facts, c.masters), list(P.SCOPE))
+    return P.totals_after(kept, P.edit_deltas(c.facts, c.edits, c.masters))
+
+
 def incident_counts(spark, d):
     return Q.incident_counts(context(spark, d).facts)
 
@@ -284,6 +294,44 @@ def append_intake(spark, d):
     return I.append_intake(c.facts, new)
 
 
+def _kept_facts(c) -> str:
+    """All facts kept in a new folder of the shared directory."""
+    base = f"{ensure_checkpoint_dir(c.spark).rstrip('/')}/covercost-kept-{uuid.uuid4().hex}"
+    K.save(c.facts, base)
+    return base
+
+
+def stored_edits(spark, d):
+    """Facts kept by scope, edited and deleted from in place, with their new positions."""
+    c = context(spark, d)
+    base = _kept_facts(c)
+    K.save_edits(spark, base, c.edits, c.masters)
+    return K.load(spark, base)
+
+
+def stored_clear(spark, d):
+    """Facts kept by scope, of which one supervisor's January and a session that doesn't exist are cleared."""
+    c = context(spark, d)
+    base = _kept_facts(c)
+    asked = c.incidencias.where((F.col("session_jefe") == "SUP0") & (F.col("imputacion_nomina") == MONTHS[0])).select(*P.SCOPE)
+    K.clear(spark, base, asked.unionByName(asked.select(F.lit("nobody").alias("session_jefe"), "imputacion_nomina")))
+    return K.load(spark, base)
+
+
+def stored_append(spark, d):
+    """Facts kept by scope, with the bulk intake added behind them; kept rows aren't touched."""
+    c = context(spark, d)
+    base = _kept_facts(c)
+    new = I.intake_by_centre(c.requests, c.masters).unionByName(I.intake_by_worker(c.requests, c.masters))
+    K.append(spark, base, new, ["request_id", "_orden"])
+    return K.load(spark, base)
+
+
+def stored_page(spark, d):
+    """A page of a session, read from the kept facts by its positions."""
+    return K.page(spark, _kept_facts(context(spark, d)), "SUP1", MONTHS[2], 2)
+
+
 def export_names(spark, d):
     return S.export_names(Q.incident_counts(context(spark, d).facts), EXPORT_TS)
 

@@ -58,8 +58,8 @@ def test_hand_totals(spark):
     df = spark.createDataFrame([(10.0, 2.0, 3.0, 1.0, 4.0, 5.0)],
                                "incidencia_precio double, incidencia_horas double, precio_nocturnidad double, "
                                "nocturnidad_horas double, traslados_total double, coste_hora double")
-    t = df.agg(*P.totals_columns()).first().asDict()
-    assert t == {"total_incidencias": 20.0, "total_nocturnidad": 3.0, "total_traslados": 20.0,
+    t = P.totals_of(P.total_parts(df, [])).first().asDict()
+    assert t == {"n_validas": 1, "total_incidencias": 20.0, "total_nocturnidad": 3.0, "total_traslados": 20.0,
                  "total_simple": 43.0, "total_con_ss": 50.3485}
 
 
