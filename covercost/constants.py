@@ -129,3 +129,5 @@ MAX_BROADCAST_ROWS_CONF = "covercost.broadcast.maxRows"
 SLICE_ROWS = 262_144
 MOST_SPLITTERS = 65_536
 FANOUT = 128
+# Copies of one request that a task makes at a time.
+RANGE_ROWS = 10_000

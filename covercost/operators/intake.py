@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covercost.constants import MAX_DESTINATIONS
+from covercost.constants import MAX_DESTINATIONS, RANGE_ROWS
 from covercost.functions import normalize as N
 from covercost.operators.enrich import FACT_COLUMNS, enrich
 from covercost.operators.joins import number_within
@@ -80,12 +80,20 @@ def intake_by_worker(requests: DataFrame, m: Masters) -> DataFrame:
     return enrich(_new_incidents(j, F.col("_orden")), m)
 
 
-def intake_replicate(requests: DataFrame, m: Masters) -> DataFrame:
-    """Each request adds ``num_rows`` copies for its worker and every listed destination (a blank one when none is)."""
+def intake_replicate(requests: DataFrame, m: Masters, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Each request adds ``num_rows`` copies for its worker and every listed destination (a blank one when none is).
+
+    Copies are cut into ranges, which are dealt over the session's partitions
+    before any copy is made: a request of any size is worked on by many tasks.
+    """
     r = _listed(requests).filter(~N.is_blank("_name") & (F.col("num_rows") >= 1))
     listed = F.when(F.size("destinos") > 0, F.col("destinos")).otherwise(F.array(F.lit("")))
-    j = r.select("*", F.posexplode(listed).alias("_pos", "_dest"))
-    j = j.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("num_rows").cast("int"))))
+    j = r.select("*", F.posexplode(listed).alias("_pos", "_dest")).withColumn("_n", F.col("num_rows").cast("long"))
+    firsts = F.sequence(F.lit(1).cast("long"), F.col("_n"), F.lit(range_rows).cast("long"))
+    j = j.withColumn("_first", F.explode(firsts))
+    # a given number of partitions, which adaptive execution doesn't put together for being small
+    j = j.repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "request_id", "_pos", "_first")
+    j = j.withColumn("_copy", F.explode(F.sequence("_first", F.least(F.col("_n"), F.col("_first") + (range_rows - 1)))))
     j = j.withColumn("_orden", F.format_string("%010d:%010d", F.col("_pos"), F.col("_copy")))
     return enrich(_new_incidents(j, F.col("_orden")), m)
 

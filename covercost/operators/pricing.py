@@ -82,8 +82,8 @@ def account_split(df: DataFrame, code_col: str = "cuenta_codigo", amount_col: st
     return out
 
 
-def export_costed(facts: DataFrame, m: Masters, factor: float = SS_FACTOR) -> DataFrame:
-    """Valid incidents as the 29-column costed table (plus the session column)."""
+def export_costed(facts: DataFrame, m: Masters, factor: float = SS_FACTOR, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Valid incidents as the 29-column costed table (plus the session column, and columns to ``keep``)."""
     v = valid_incidents(facts)
     v = with_night_rate(v, m)
     v = with_account(v, m)
@@ -95,7 +95,7 @@ def export_costed(facts: DataFrame, m: Masters, factor: float = SS_FACTOR) -> Da
     cols.append((F.col("precio_nocturnidad") * F.col("nocturnidad_horas")).alias(NIGHT_COLUMN))
     cols.append(coste_total(F.col("incidencia_horas"), F.col("incidencia_precio"), F.col("nocturnidad_horas"),
                             F.col("precio_nocturnidad"), F.col("traslados_total"), factor).alias(TOTAL_COLUMN))
-    return v.select("session_jefe", *cols)
+    return v.select("session_jefe", *keep, *cols)
 
 
 def _z(c: str) -> Column:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from covercost.operators.enrich import enrich
+from covercost.operators.joins import Dim
 from covercost.operators.masters import Masters
 from covercost.session import app_id
+from covercost.sources.files import versions
 from covercost.sources import fixtures as fx
 
-_CONTEXTS: dict[tuple[str, str], "Context"] = {}
+_CONTEXTS: dict[tuple[str, str], tuple[tuple, "Context"]] = {}
 
 
 class Context:
@@ -43,22 +44,24 @@ class Context:
     def requests(self) -> DataFrame:
         return fx.requests(self.spark, self.sf_dir)
 
-
-def _fingerprint(sf_dir: str) -> tuple:
-    """Size and modification time of the input files (local folders), so that
-    changed inputs get fresh dimensions, as a content-keyed cache would."""
-    if "://" in sf_dir or not os.path.isdir(sf_dir):
-        return ()
-    out = []
-    for name in sorted(os.listdir(sf_dir)):
-        st = os.stat(os.path.join(sf_dir, name))
-        out.append((name, st.st_size, st.st_mtime_ns))
-    return tuple(out)
+    def free(self) -> None:
+        """Unpersist the dimensions that were built."""
+        for dim in vars(self.__dict__.get("masters", self)).values():
+            if isinstance(dim, Dim):
+                dim.unpersist()
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
-    """One context per (application, folder, file versions): dimensions are built and counted once."""
-    key = (app_id(spark), os.path.abspath(sf_dir), _fingerprint(sf_dir))
-    if key not in _CONTEXTS:
-        _CONTEXTS[key] = Context(spark, sf_dir)
-    return _CONTEXTS[key]
+    """One context per (application, folder): dimensions are built and counted once.
+
+    Its key holds the versions of the input files, on whatever file system they
+    are; when they change, a new context is built and the dimensions of the old
+    one are freed.
+    """
+    key, now = (app_id(spark), sf_dir), versions(spark, sf_dir)
+    held = _CONTEXTS.get(key)
+    if held is None or held[0] != now:
+        if held is not None:
+            held[1].free()
+        _CONTEXTS[key] = (now, Context(spark, sf_dir))
+    return _CONTEXTS[key][1]

@@ -432,7 +432,7 @@ def _missing_sql() -> str:
     return f"concat_ws(', ', {cases})"
 
 
-def _violations_sql() -> str:
+def _violations_sql(rows: str = "v_") -> str:
     rules = [
         (f"coalesce(facturable, '') not in ({in_list(FACTURABLE_VALUES)})", "facturable_fuera_de_dominio"),
         (f"not ({blank('motivo')}) and motivo not in ({in_list(MOTIVO_VALUES)})", "motivo_fuera_de_dominio"),
@@ -444,7 +444,7 @@ def _violations_sql() -> str:
     rules += [(f"{c} < 0", f"{c}_negativo") for c in
               ("incidencia_horas", "incidencia_precio", "nocturnidad_horas", "traslados_total")]
     rules += [(blank(c), f"falta_{c}") for c in (*REQUIRED_FIELDS, "observaciones")]
-    return " union all ".join(f"select incidencia_id, {lit(name)} as regla from v_ where {cond}" for cond, name in rules)
+    return " union all ".join(f"select incidencia_id, {lit(name)} as regla from {rows} where {cond}" for cond, name in rules)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -559,14 +559,27 @@ def oracle_sql() -> dict[str, str]:
           '||' order by seq)) as huella from paged group by {SCOPE}, pagina""", "paged")
     out["clear_scope"] = with_ctes(f"""select * from facts where not coalesce(session_jefe = 'SUP0'
         and imputacion_nomina = {lit(MONTHS[0])}, false)""", "facts")
-    out["intake_rejected"] = with_ctes("""
-select request_id, motivo_rechazo from (select request_id,
+    rejected = """select request_id, motivo_rechazo from (select request_id,
   case when coalesce(kind, '') not in ('centro', 'trabajador') then 'tipo_desconocido'
        when kind = 'centro' and coalesce(centro_origen, '') = '' then 'sin_centro_origen'
        when kind = 'trabajador' and coalesce(name_, '') = '' then 'sin_trabajador'
        when len(destinos) = 0 then 'sin_destino'
-       when kind = 'trabajador' and len(destinos) > 10 then 'demasiados_destinos' end as motivo_rechazo from req)
-where motivo_rechazo is not null""", "req")
+       when kind = 'trabajador' and len(destinos) > 10 then 'demasiados_destinos' end as motivo_rechazo from {})
+where motivo_rechazo is not null"""
+    out["intake_rejected"] = with_ctes(rejected.format("req"), "req")
+    eleven = ",".join(f"D{n}" for n in range(11))
+    odd = f"""(select request_id, session_jefe, imputacion_nomina, num_rows,
+      case when request_id % 7 = 1 then 'otro' when request_id % 7 = 2 then null else kind end as kind,
+      case when request_id % 5 <> 0 then centro_origen end as centro_origen,
+      case when request_id % 11 = 0 then '' else trabajador end as trabajador,
+      case when request_id % 13 = 0 then ',' when request_id % 13 = 1 then '{eleven}' else destinos_csv end as destinos_csv from requests)"""
+    out["intake_rules"] = with_ctes(rejected.format("(" + CTES["req"][0].replace("from requests)", f"from {odd})") + ")"), "requests")
+    bad = {"observaciones": (1, "''"), "facturable": (3, "'Quizá'"), "motivo": (4, "'Huelga'"), "empresa_destino": (5, "'E9'"),
+           "imputacion_nomina": (6, "'13-Mes'"), "trabajador": (7, "'NADIE'"), "codigo_crown_destino": (7, "'X'")}
+    bad |= {c: (2, f"-{c} - 1") for c in ("incidencia_horas", "incidencia_precio", "nocturnidad_horas", "traslados_total")}
+    odd = ", ".join(f"case when traslados_total = {n} then {v} else {c} end as {c}" for c, (n, v) in bad.items())
+    odd = f"(select * replace ({odd}) from facts)"
+    out["domain_rules"] = with_ctes(_violations_sql("(" + CTES["v_"][0].replace("from applied a", f"from {odd} a") + ")"), "facts", "worker_dim", "centros_clean")
     for key, src in (("intake_by_centre", "enriched_new_by_centre"), ("intake_by_worker", "enriched_new_by_worker"),
                      ("intake_replicate", "enriched_new_replicate")):
         out[key] = with_ctes(f"select {FACTS} from {src}", src)
@@ -582,4 +595,53 @@ where motivo_rechazo is not null""", "req")
         || '_20250131_120000.parquet' as nombre_fichero from
         (select {SCOPE}, count_if({VALID}) as n_validas from facts group by {SCOPE}) where n_validas > 0""", "facts")
     out["header_normalize"] = with_ctes("select * from trabajadores", "trabajadores")
+    numbered = f"row_number() over (partition by {SCOPE} order by incidencia_id) as seq"
+    out["stored_edits"] = with_ctes(f"select *, {numbered} from applied", "applied")
+    out["stored_clear"] = with_ctes(f"""select {FACTS}, seq from paged where not coalesce(session_jefe = 'SUP0'
+        and imputacion_nomina = {lit(MONTHS[0])}, false)""", "paged")
+    out["stored_append"], out["stored_page"] = out["append_intake"], out["page_slice"]
+    text = """concat_ws('|', coalesce(trabajador, 'None'), coalesce(motivo, 'None'), coalesce(fecha, 'None'),
+        coalesce(cast(incidencia_horas as varchar), 'None'), coalesce(cast(incidencia_precio as varchar), 'None'))"""
+
+    def manifest(rows: str) -> str:
+        return f"""select session_jefe || '/' || imputacion_nomina as path, count(*) as length,
+          sum(('0x' || substr(md5(incidencia_id || '|' || {text}), 1, 14))::bigint)::varchar as md5 from {rows} group by {SCOPE}"""
+
+    def states(now: str, last: str, keys: tuple[str, ...], digest: str) -> str:
+        same = " and ".join(f"n.{k} is not distinct from l.{k}" for k in keys)
+        return f"""n.{digest}, case when n.{digest} is null then 'removed' when l.{digest} is null then 'new'
+            when n.{digest} = l.{digest} then 'unchanged' else 'changed' end as estado from {now} n full join {last} l on {same}"""
+
+    now = f"""({manifest(f"(select * from applied where session_jefe <> 'SUP4' and imputacion_nomina <> {lit(MONTHS[3])})")}
+        union all {manifest(f"(select * from facts where imputacion_nomina = {lit(MONTHS[3])})")})"""
+    last = f"({manifest(f'(select * from facts where imputacion_nomina <> {lit(MONTHS[1])})')})"
+    out["manifest_states"] = with_ctes(f"select coalesce(n.path, l.path) as path, n.length, {states(now, last, ('path',), 'md5')}", "facts", "applied")
+
+    def pages(rows: str) -> str:
+        numbers = CTES["paged"][0].replace("from facts", f"from {rows}")
+        return f"(select {SCOPE}, pagina, md5(string_agg({text}, '||' order by seq)) as huella from ({numbers}) group by {SCOPE}, pagina)"
+
+    page = (*SCOPE.split(", "), "pagina")
+    both = ", ".join(f"coalesce(n.{k}, l.{k}) as {k}" for k in page)
+    out["page_changes"] = with_ctes(f"select * from (select {both}, {states(pages('applied'), pages('facts'), page, 'huella')}) where estado <> 'unchanged'", "applied", "facts")
+    # edits of one kind only: the chain from the edits to the edited rows, with its source narrowed
+    some = {n: (sql.replace("from edits", "from some_edits").replace("join edits", "join some_edits"), tuple("some_edits" if d == "edits" else d for d in deps))
+            for n, (sql, deps) in CTES.items() if n in ("edited", "edit_rows", "edit_rows_dest", "applied")}
+    some["some_edits"] = ("select * from edits where incidencia_horas = '51.0' and not borrar", ("edits",))
+    kept = {n: CTES.get(n) for n in some}
+    CTES.update(some)
+    where = " and ".join(f"a.{k} = c.{k}" for k in page)
+    priced = f"""(select f.*, coalesce(t.tarifa, 0.0) as precio_nocturnidad from (select a.* from ({CTES['paged'][0].replace('from facts', 'from applied')}) a
+        join (select * from (select {both}, {states(pages('applied'), pages('facts'), page, 'huella')}) where estado in ('new', 'changed')) c on {where}
+        where {VALID}) f {_RATE_JOIN})"""
+    out["repriced_pages"] = with_ctes(f"select pagina, {_EXPORT} from ({CTES['costed'][0].replace('from rated_valid f', f'from {priced} f')})",
+                                      "applied", "facts", "tariff_dim", "account_dim", "worker_dim")
+    for n, old in kept.items():
+        CTES.pop(n) if old is None else CTES.update({n: old})
+    names = ["nombre_empleado", "centro_preferente", "cat_empleado", "cod_reg_convenio", "coste_hora", "cod_empresa"]
+    line = " || ',' || ".join("'n/a'" if c == "coste_hora" else f"coalesce({c}, '')" for c in names)
+    out["bad_input"] = with_ctes(f"""
+        select 'buena' as estado, nombre_empleado, cat_empleado, coste_hora, null::varchar as registro from trabajadores where row_idx % 50 > 1
+        union all select 'rechazada', null, null, null, case when row_idx % 50 = 0 then nombre_empleado || ',roto' else {line} end
+        from trabajadores where row_idx % 50 < 2""", "trabajadores")
     return out

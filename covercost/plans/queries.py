@@ -26,6 +26,7 @@ from covercost.plans.context import context
 from covercost.session import ensure_checkpoint_dir
 from covercost.sources import fixtures as fx
 from covercost.sources import kept as K
+from covercost.sources import manifest as MF
 from covercost.sources import masters as SM
 from covercost.sources import sinks as S
 
@@ -344,7 +345,64 @@ def header_normalize(spark, d):
 
 
 def file_manifest(spark, d):
-    return SM.file_manifest(spark, f"{d.rstrip('/')}/*.parquet")
+    return MF.file_manifest(spark, f"{d.rstrip('/')}/*.parquet")
+
+
+def _scope_manifest(rows: DataFrame) -> DataFrame:
+    text = F.concat_ws("|", "incidencia_id", R.row_fingerprint_text())
+    return rows.groupBy(F.concat_ws("/", *P.SCOPE).alias("path")).agg(F.count(F.lit(1)).alias("length"), MF.row_digest(text).alias("md5"))
+
+
+def manifest_states(spark, d):
+    """Manifests of the sessions' contents before and after the edits: the first without a month, the second without a supervisor."""
+    c = context(spark, d)
+    last = _scope_manifest(c.facts.where(F.col("imputacion_nomina") != MONTHS[1]))
+    now = _edited_facts(spark, d).where((F.col("session_jefe") != "SUP4") & (F.col("imputacion_nomina") != MONTHS[3]))
+    same = _scope_manifest(c.facts.where((F.col("imputacion_nomina") == MONTHS[3])))
+    return MF.compare(_scope_manifest(now).unionByName(same), last)
+
+
+def page_changes(spark, d):
+    """Pages that the edits change, by their digests before and after."""
+    before, after = R.paged_incidents(context(spark, d).facts), R.paged_incidents(_edited_facts(spark, d))
+    return R.changed_pages(R.page_fingerprint(after), R.page_fingerprint(before))
+
+
+def repriced_pages(spark, d):
+    """Costed rows of the pages that the edits change, and of no others."""
+    c = context(spark, d)
+    before = R.paged_incidents(c.facts)
+    edited = c.edits.where((F.col("incidencia_horas") == "51.0") & ~F.col("borrar"))
+    after = R.paged_incidents(E.apply_edits(c.facts, edited, c.masters))
+    return R.reprice_pages(after, R.changed_pages(R.page_fingerprint(after), R.page_fingerprint(before)), c.masters)
+
+
+def bad_input(spark, d):
+    """A CSV worker list of which some lines lack fields or hold text for a number, loaded with its broken lines set apart."""
+    w = fx.trabajadores(spark, d)
+    k, names = F.col("row_idx"), ["nombre_empleado", "centro_preferente", "cat_empleado", "cod_reg_convenio", "coste_hora", "cod_empresa"]
+    cost = F.when(k % 50 == 1, F.lit("n/a")).otherwise(F.coalesce(F.col("coste_hora").cast("string"), F.lit("")))
+    whole = F.concat_ws(",", *[cost if c == "coste_hora" else F.coalesce(c, F.lit("")) for c in names])
+    line = F.when(k % 50 == 0, F.concat("nombre_empleado", F.lit(",roto"))).otherwise(whole)
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/covercost-lines-{uuid.uuid4().hex}"
+    # one text column, whose name is the header line; the separator never occurs, so nothing is quoted
+    w.select(line.alias(",".join([" Nombre ", *names[1:]]))).write.option("header", True).option("sep", "\u0001").csv(f"{base}/in")
+    good, rejected, _ = SM.load_checked(spark, f"{base}/in", "trabajadores", f"{base}/out")
+    good = good.select(F.lit("buena").alias("estado"), "nombre_empleado", "cat_empleado", "coste_hora", F.lit(None).cast("string").alias("registro"))
+    none = F.lit(None).cast("string")
+    return good.unionByName(rejected.select(F.lit("rechazada").alias("estado"), none.alias("nombre_empleado"), none.alias("cat_empleado"),
+                                            F.lit(None).cast("double").alias("coste_hora"), F.col(SM.REJECTED).alias("registro")))
+
+
+def intake_rules(spark, d):
+    """Requests of which each rule stops some."""
+    return I.intake_rejected(fx.odd_requests(spark, d))
+
+
+def domain_rules(spark, d):
+    """Incidents of which some break each rule, with the rules they break."""
+    c = context(spark, d)
+    return Q.domain_violations(fx.odd_incidents(c.facts), c.masters.worker_dim, c.masters.centre_codes, fx.COMPANIES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

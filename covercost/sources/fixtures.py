@@ -167,3 +167,25 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(_s(101 + k), F.when(k % 3 == 0, F.lit(",X22")).otherwise(F.lit(""))).alias("destinos_csv"),
         (1 + k % 3).alias("num_rows"),
     )
+
+
+def odd_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bulk-intake requests, of which each rule of the intake stops some."""
+    k = F.col("request_id")
+    return requests(spark, sf_dir).withColumns({
+        "kind": F.when(k % 7 == 1, "otro").when(k % 7 == 2, F.lit(None)).otherwise(F.col("kind")),
+        "centro_origen": F.when(k % 5 != 0, F.col("centro_origen")),
+        "trabajador": F.when(k % 11 == 0, "").otherwise(F.col("trabajador")),
+        "destinos_csv": F.when(k % 13 == 0, ",").when(k % 13 == 1, F.lit(",".join(f"D{n}" for n in range(11)))).otherwise(F.col("destinos_csv")),
+    })
+
+
+def odd_incidents(facts: DataFrame) -> DataFrame:
+    """Incidents of which each domain rule is broken by those of one value of ``traslados_total``."""
+    t = F.col("traslados_total")
+    negative = {c: F.when(t == 2, -F.col(c) - 1).otherwise(F.col(c)) for c in ("incidencia_horas", "incidencia_precio", "nocturnidad_horas", "traslados_total")}
+    return facts.withColumns({
+        **{c: F.when(t == n, v).otherwise(F.col(c)) for c, n, v in (
+            ("observaciones", 1, ""), ("facturable", 3, "Quizá"), ("motivo", 4, "Huelga"), ("empresa_destino", 5, "E9"),
+            ("imputacion_nomina", 6, "13-Mes"), ("trabajador", 7, "NADIE"), ("codigo_crown_destino", 7, "X"))},
+        **negative})

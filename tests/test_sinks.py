@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from covercost.operators.joins import last_by
 from covercost.operators import pricing as P
 from covercost.plans.context import context
+from covercost.sources import manifest as MF
 from covercost.sources import masters as SM
 from covercost.sources import sinks as S
 
@@ -41,12 +42,12 @@ def test_manifest_detects_change(spark):
     for name, text in (("a.txt", "uno"), ("b.txt", "dos")):
         with open(os.path.join(d, name), "w") as fh:
             fh.write(text)
-    first = SM.file_manifest(spark, d + "/*.txt")
+    first = MF.file_manifest(spark, d + "/*.txt")
     prev = spark.createDataFrame([tuple(r) for r in first.select("path", "length", "md5").collect()],
                                  "path string, length bigint, md5 string")
     with open(os.path.join(d, "b.txt"), "w") as fh:
         fh.write("tres")
-    now = {os.path.basename(r["path"]): r["estado"] for r in SM.file_manifest(spark, d + "/*.txt", prev).collect()}
+    now = {os.path.basename(r["path"]): r["estado"] for r in MF.file_manifest(spark, d + "/*.txt", prev).collect()}
     assert now == {"a.txt": "unchanged", "b.txt": "changed"}
 
 
