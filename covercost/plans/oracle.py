@@ -278,7 +278,8 @@ cte("rated_facts", f"select f.*, coalesce(t.tarifa, 0.0) as precio_nocturnidad f
 _SHIFT = "({} >> {})"
 _FACTORS = sorted({c for pair in PRODUCTS.values() for c in pair})
 _CLEAN = ", ".join(f"{z(c)} as {c}" for c in _FACTORS)
-_PIECES = [(c, sql) for name, (a, b) in PRODUCTS.items() for c, sql in exact.pieces_sql(a, b, name, "round_even({}, 0)")]
+_SPLIT = ", ".join(f"{sql} as {c}" for name, (a, b) in PRODUCTS.items() for c, sql in exact.product_sql(a, b, name))
+_PIECES = [piece for name in PRODUCTS for piece in exact.pieces_sql(name, "round_even({}, 0)")]
 _SUMS = "count(*) as n_validas, " + ", ".join(
     f"coalesce(sum({c}), 0)::{'double' if c.endswith('_x') else 'bigint'} as {c}" for c, _ in _PIECES)
 _VALUES = ", ".join(f"{exact.value_sql(name, _SHIFT)} as {name}" for name in PRODUCTS)
@@ -292,7 +293,7 @@ def _sums_of(rows: str, by: str = "") -> str:
     pieces = ", ".join(f"{sql} as {c}" for c, sql in _PIECES)
     on = f"{by}, " if by else ""
     return f"""select {on}n_validas, {_VALUES} from (select {on}{_SUMS} from (select {on}{pieces} from (
-      select {on}{_CLEAN} from {rows})){f' group by {by}' if by else ''})"""
+      select {on}{_SPLIT} from (select {on}{_CLEAN} from {rows}))){f' group by {by}' if by else ''})"""
 
 
 _GATED = "(select * from {} where coalesce(session_jefe, '') <> '' and coalesce(imputacion_nomina, '') <> '')"
