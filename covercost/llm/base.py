@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covercost.session import ensure_checkpoint_dir
+from covercost.sources.files import remove
 
 #: Text bytes handled at once inside a task; longer single texts are handled whole.
 SLICE_BYTES = 1 << 20
@@ -25,6 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
 
 
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
@@ -33,9 +39,32 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _staged.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables staged inside are removed at the end, but for those staged by the function that this yields."""
+    outer, paths = _staged.get(), []
+    token = _staged.set(paths)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inner = _staged.set(outer)
+        try:
+            return stage(spark, df, name)
+        finally:
+            _staged.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _staged.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
 #: Bytes up to which a table that has been written and counted is broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -45,6 +74,17 @@ def broadcast_if_small(staged: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(staged) if staged.count() * row_bytes <= BROADCAST_BYTES else staged
 
 
+def few_of(docs: DataFrame, n: int, seed: int) -> DataFrame:
+    """The rows of the ``n`` ids with the smallest hashes (all, if there are fewer); null ids are left out.
+
+    Ids are chosen by a bounded top-k and broadcast, so the same number is
+    taken from tables of any size, and no text of another row moves.
+    """
+    own = docs.select(F.col("doc_id").alias("_few")).where("_few is not null")
+    chosen = own.orderBy(F.xxhash64("_few", F.lit(seed)), "_few").limit(n)
+    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_few"), "left_semi")
+
+
 def bucket_of(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n`` (null id: null)."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

@@ -6,12 +6,12 @@ with a pseudo-random permutation whose steps are correlated over the signature:
 step j offers the value j + r to slot p[j], so the slots fill level by level
 and a document stops as soon as no later level can lower a slot.
 
-Steps: equal sets become one class (``min(doc_id)`` stands for it); signatures
-of classes are cut into bands; classes that share a band are compared with the
-band's smallest class on the full sets; verified links are merged by union-find
-rounds; bands that still span several components are compared further, each
-class with the smallest class of other components, until no band holds an
-untested pair of components.
+Steps: equal sets become one class (``min(doc_id)`` stands for it).  Signatures
+of classes are cut into bands; of bands with the same members one is kept.  The
+members of a band are compared by signature, in blocks, and a spanning forest of
+likely pairs is merged by union-find into clusters.  Within each cluster, pairs
+are confirmed on the full sets, in blocks again, and the spanning forests of
+confirmed links are merged into components.
 
 Defined cases: null or blank text has an empty set and is linked with nothing;
 a null doc_id is linked with nothing and kept; repeated rows are classes of
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covercost.llm.base import broadcast_if_small, counts_per, mix, slices, stage, stream, table, text_bytes, word_hashes
+from covercost.llm.base import broadcast_if_small, counts_per, mix, scratch, slices, stage, stream, table, text_bytes, word_hashes
 
 SHINGLE = 3
 #: Signature slots, in BANDS bands of ROWS: a pair at similarity 0.85 shares no band with probability 7e-9.
@@ -268,9 +268,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     of_sets = signed.where("set_key is not null and doc_id is not null")
     classes = stage(spark, of_sets.groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    band = classes.select("rep", "sketch", F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    likely = components(spark, likely_links(band.join(shared, "band"), "band")).withColumnsRenamed({"node": "rep", "root": "cluster"})
+    band = classes.select("rep", F.explode("bands").alias("band"))
+    shared = band.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("_y"))
+    # bands of the same members (two hashes of all of them) link the same pairs: one of them is enough
+    shared = shared.where("n > 1").groupBy("n", "_x", "_y").agg(F.min("band").alias("band")).select("band", "n")
+    shared = broadcast_if_small(stage(spark, shared, "shared-bands"), 24)
+    close = stage(spark, band.join(shared, "band"), "close").join(classes.select("rep", "sketch"), "rep").select("band", "rep", "sketch", "n")
+    likely = components(spark, likely_links(close, "band")).withColumnsRenamed({"node": "rep", "root": "cluster"})
     sizes = likely.groupBy("cluster").agg(F.count("*").alias("n"))
     chosen = likely.join(sizes, "cluster").join(classes.select("rep", "sketch", "set_key"), "rep")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
@@ -287,14 +291,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their group; of rows with the same id and text one stays (null ids all stay)."""
-    found = stage(spark, near_duplicates(spark, docs).select(F.col("doc_id").alias("_id"), "kept"), "near-duplicates")
-    # an id goes when none of its rows stands for a group: ids that go are fewer than those that stay
-    gone = stage(spark, found.groupBy("_id").agg(F.max("kept").alias("kept")).where("not kept").select("_id"), "gone")
-    out = docs.join(broadcast_if_small(gone, 16), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    if found.where("_id is not null").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    key = "_id"
+    while key in docs.columns:
+        key += "_"
+    with scratch(spark) as keep:
+        # an id goes when none of its rows stands for a group; few ids go, and fewer stand more than once
+        ids = near_duplicates(spark, docs).where("doc_id is not null").groupBy(F.col("doc_id").alias(key))
+        ids = keep(ids.agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "near-duplicates")
+    same = F.col("doc_id").cast("long") == F.col(key)
+    out = docs.join(broadcast_if_small(ids.where("not kept").select(key), 16), same, "left_anti")
+    again = ids.where("kept").select(key)
+    if again.isEmpty():
         return out
-    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return out.withColumn("_alone", alone).dropDuplicates(["doc_id", "text", "_alone"]).select(docs.columns)
+    again = broadcast_if_small(again, 16)  # only rows of ids that stand more than once are moved
+    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
