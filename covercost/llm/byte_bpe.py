@@ -34,9 +34,9 @@ from covercost.llm.base import powers, mix, slices, stream, table, text_bytes
 #: Longest word, in bytes, that the single recursive query takes.
 LONG = 64
 #: Distinct words that one query takes, and that a Python worker remembers between batches.
-CHUNK, REMEMBERED = 30_000, 250_000
+CHUNK, REMEMBERED = 30_000, 150_000
 #: Text bytes of the rows whose words are encoded together.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 22
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: The suffixes that the pattern splits off after a single apostrophe.
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -269,10 +269,10 @@ def coder(ranks: dict[bytes, int]) -> Coder:
     return _coders[key]
 
 
-def encode_decode(spark: SparkSession, docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with ``ids`` also the ids (array) and decoded bytes."""
+def encode_decode(spark: SparkSession, docs: DataFrame, path: str | None = None, ids: bool = False, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with ``ids`` the ids (array), with ``decoded`` the decoded bytes as well."""
     shared = spark.sparkContext.broadcast(vocabulary(path))  # a vocabulary file: some ten thousand short entries
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded binary" * decoded
 
     def code(batches):
         own = None
@@ -280,15 +280,20 @@ def encode_decode(spark: SparkSession, docs: DataFrame, path: str | None = None,
             own = own or coder(shared.value)
             for lo, hi in slices(text_bytes(batch.column(1))[1], BATCH_BYTES):
                 part = batch.slice(lo, hi - lo)
-                rows, coded = [], []
+                rows, coded, raw = [], [], []
                 for n, i, d in own.texts(part.column(1)):
                     rows.append((n, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()))
                     if ids:
-                        coded.append((np.fromstring(i.tobytes(), np.int32, sep=" "), d.tobytes()))
+                        coded.append(np.fromstring(i.tobytes(), np.int32, sep=" "))
+                    if decoded:
+                        raw.append(d.tobytes())
                 cols = [part.column(0).cast(pa.int64()), pa.array([n for n, _, _ in rows], pa.int64()),
                         pa.array([i for _, i, _ in rows], pa.string()), pa.array([d for _, _, d in rows], pa.string())]
-                if ids:
-                    cols += [pa.array([i for i, _ in coded], pa.list_(pa.int32())), pa.array([d for _, d in coded], pa.binary())]
+                if ids:  # one flat array, cut by its offsets
+                    ends = np.concatenate(([0], np.cumsum([n for n, _, _ in rows])))
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*coded, np.zeros(0, np.int32)]))))
+                if decoded:
+                    cols.append(pa.array(raw, pa.binary()))
                 yield pa.record_batch(cols, names=[f.split()[0] for f in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(code, schema)

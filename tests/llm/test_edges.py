@@ -40,7 +40,7 @@ def test_repeats(spark, odd, none):
 
 
 def test_tokens(spark, odd, none):
-    got = {r.doc_id: r for r in byte_bpe.encode_decode(spark, odd, ids=True).collect()}
+    got = {r.doc_id: r for r in byte_bpe.encode_decode(spark, odd, ids=True, decoded=True).collect()}
     assert got[1].n_tokens == 0 and got[1].ids == [] and bytes(got[12].decoded).decode() == ODD[-1][1] and got[10].n_tokens == len(got[10].ids)
     assert rows(byte_bpe.encode_decode(spark, none)) == []
 
