@@ -38,7 +38,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the decoded bytes (9)."""
-    return byte_bpe.encode_decode(spark, docs, ids=True).drop("decoded")
+    return byte_bpe.encode_decode(spark, docs, ids=True)
 
 
 STAGES = [
