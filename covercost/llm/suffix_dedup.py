@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covercost.llm.base import broadcast_if_small, mix, powers, prefix_hashes, slices, span_hashes, stage, stream, table, text_bytes
+from covercost.llm.base import broadcast_if_small, mix, powers, prefix_hashes, scratch, slices, span_hashes, stage, stream, table, text_bytes
 from covercost.llm.minhash_dedup import by_key
 
 LENGTH, ANCHOR = 200, 40
@@ -391,10 +391,14 @@ def covered(spark: SparkSession, texts: DataFrame) -> DataFrame:
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row."""
-    gone = covered(spark, docs.select(key_of(text_of()).alias("key"), text_of().alias("text")))
-    gone = stage(spark, gone.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("first", "end")).alias("gone")), "covered")
+    with scratch(spark) as keep:
+        gone = covered(spark, docs.select(key_of(text_of()).alias("key"), text_of().alias("text")))
+        gone = keep(gone.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("first", "end")).alias("gone")), "covered")
+    keys = broadcast_if_small(keep(gone.select(F.col("_key").alias("_of")), "covered-keys"), 48)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), key_of(text_of()).alias("key"))
-    rows = rows.join(gone, F.col("key") == F.col("_key"), "left").select("doc_id", "text", "gone")
+    cut_texts = rows.join(keys, F.col("key") == F.col("_of"), "left_semi").join(gone, F.col("key") == F.col("_key"))  # only texts that lose something are moved
+    whole_texts = rows.join(keys, F.col("key") == F.col("_of"), "left_anti").withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))
+    rows = cut_texts.select("doc_id", "text", "gone").unionByName(whole_texts.select("doc_id", "text", "gone"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def cut(batches):
