@@ -11,23 +11,27 @@ from covercost.llm.base import bucket_of
 HELD_OUT = 5
 
 
+def training_labels(labels: DataFrame, label: str) -> DataFrame:
+    """_id and y of the labelled documents outside the held-out bucket; an id with several labels counts as 1 if any of them is."""
+    own = labels.where(F.col(label).isin(0, 1) & (bucket_of("doc_id", HELD_OUT) != 0))
+    return own.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, balanced: bool = False) -> DataFrame:
-    """doc_id, text and y of about ``per_class`` documents of either class, chosen by a hash of the id.
+    """doc_id, text and y of ``per_class`` documents of either class (all, if fewer): those with the smallest hashes of their ids.
 
-    Only documents outside the held-out bucket are taken.  An id with several
-    labels counts as 1 if any of them is; null ids and labels are left out.
-    ``balanced`` takes no more of either class than the smaller one has.
-    ``balanced`` takes no more of either class than the smaller one has.
+    Only documents outside the held-out bucket are taken; null ids and labels
+    are left out.  ``balanced`` takes no more of either class than the smaller
+    one has.  The chosen ids are few at any size of the tables, so they are
+    broadcast and no text of another document moves.
     """
-    own = labels.where(F.col(label).isin(0, 1) & (bucket_of("doc_id", HELD_OUT) != 0))
-    own = own.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    own = training_labels(labels, label)
     sizes = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     most = min(per_class, *sizes.values()) if balanced and sizes else per_class
-    share = {y: min(1.0, most / n) for y, n in sizes.items()}
-    cut = F.when(F.col("y") == 1, F.lit(int(share.get(1, 0) * 1_000_000))).otherwise(F.lit(int(share.get(0, 0) * 1_000_000)))
-    own = own.where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1_000_000)) < cut)
+    by_hash = (F.xxhash64("_id", F.lit(11)), "_id")
+    chosen = own.where("y = 0").orderBy(*by_hash).limit(most).unionByName(own.where("y = 1").orderBy(*by_hash).limit(most))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(own, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
 
 
 def held_out(doc_id: str = "doc_id", n: int = HELD_OUT, bucket: int = 0):

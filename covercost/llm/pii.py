@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covercost.llm.base import table
+from covercost.llm.base import few_of, table
 
 #: The kinds in order, and their patterns.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -181,8 +181,6 @@ def score_of(x: np.ndarray, edges: np.ndarray, trees: list) -> np.ndarray:
 
 def train(docs: DataFrame):
     """(bin edges, trees, threshold) from the candidates of a bounded sample of documents; None without any."""
-    n = docs.count()
-    share = min(1.0, TRAIN_DOCS / max(1, n))
 
     def propose(batches):
         for batch in batches:
@@ -195,7 +193,7 @@ def train(docs: DataFrame):
             if x:
                 yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), pa.array(y), pa.array(keys, pa.int64())], names=["x", "y", "key"])
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col("text").cast("string"))
+    some = few_of(docs, TRAIN_DOCS, 3).select(F.col("text").cast("string"))
     rows = some.mapInArrow(propose, "x array<double>, y boolean, key long").dropDuplicates(["key"]).orderBy("key").limit(TRAIN_SPANS).toArrow()
     if not len(rows):
         return None

@@ -87,7 +87,7 @@ def test_estimates_lose_less_than_bands():
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
-    tables = {t: table(spark, SMALL, t) for t in ("documents", "pages")}
+    tables = {t: table(spark, SMALL, t) for t in ("documents", "pages", "benchmark")}
     names, want = duck(tables, queries.ORACLES[name])
     assert rows(queries.QUERIES[name](spark, SMALL).select(names)) == want
 
