@@ -1,12 +1,12 @@
 """Operator 12: frequent phrases of two to four words, from a weighted de Bruijn graph of their words.
 
-1. A table of hash slots counts every word and every neighbouring pair (in each
-   task, then added up slot by slot).  A word or pair whose slot stays under
-   LEAST is certainly rarer than LEAST, and no phrase that
+1. A table of hash slots counts every word, every neighbouring pair and triple (in
+   each task, then added up slot by slot).  One whose slot stays under LEAST is
+   certainly rarer than LEAST, and no phrase that
    holds it can be a candidate.  Only one bit a slot is broadcast; shared slots
-   let rare pairs through and never stop a frequent one.
+   let rare ones through and never stop a frequent one.
 2. Each word opens its longest gram: up to four words, ended by the piece or by
-   a rare pair.  Grams of four words are the edges of the graph, from the node
+   a rare pair or triple.  Grams of four words are the edges of the graph, from the node
    of their first three words to that of their last three; shorter grams are
    the corrections of flow that ends in a node.
 3. A node's count is the flow out of it plus the flow that ends there; counts of
@@ -37,16 +37,18 @@ from covercost.llm.base import LOWER, mix, prefix_hashes, slices, span_hashes, s
 
 #: Words of the longest phrase, least count of a candidate, phrases returned for a language.
 LONGEST, LEAST, TOP = 4, 30, 2000
+#: Parts of a language's phrases that are ranked by tasks of their own.
+PARTS = 64
 #: A candidate is dropped when a longer one that holds it has this share of its count, in percent.
 COVERED = 80
-#: Slots for the counts of words and pairs: one for about BYTES_PER_SLOT bytes of text, within these bounds (a bit of each is broadcast).
+#: Slots for the counts of words, pairs and triples: one for about BYTES_PER_SLOT bytes of text, within these bounds (a bit of each is broadcast).
 LEAST_SLOTS, MOST_SLOTS, BYTES_PER_SLOT = 1 << 16, 1 << 27, 24
 #: Slots that are counted and added up together.
 BLOCK = 1 << 16
 BLANK, CUT = np.zeros(256, bool), np.zeros(256, bool)
 BLANK[[0x20, 0x09]] = True
 CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
-_FIRST, _SECOND, _LANG = stream(211, 3)
+_FIRST, _SECOND, _LANG, _THIRD = stream(211, 4)
 
 
 def words_of(texts: pa.Array, langs: pa.Array):
@@ -76,22 +78,34 @@ def hash_of(text: str) -> int:
     return int((span_hashes(prefix_hashes(raw), np.array([0]), np.array([len(raw)])) * _LANG)[0])
 
 
+def later(x: np.ndarray, k: int = 1) -> np.ndarray:
+    """At each place what stands ``k`` places on; zero (false) at the end."""
+    out = np.zeros_like(x)
+    if k < len(x):
+        out[:-k] = x[k:]
+    return out
+
+
 def pair_hashes(words: np.ndarray) -> np.ndarray:
-    """Hash of each word with the next one (the last: with nothing)."""
-    after = np.zeros_like(words)
-    after[:-1] = words[1:]
-    return mix(words * _FIRST + after * _SECOND)
+    """Hash of each word with the next one."""
+    return mix(words * _FIRST + later(words) * _SECOND)
+
+
+def triple_hashes(words: np.ndarray) -> np.ndarray:
+    """Hash of each word with the next two."""
+    return mix(words * _FIRST + later(words) * _SECOND + later(words, 2) * _THIRD)
 
 
 def frequent(docs: DataFrame, slots: int, least: int = LEAST) -> np.ndarray:
-    """One bit a slot: whether its words and pairs together come to ``least`` (or to 255, which is as good a sieve)."""
+    """One bit a slot: whether its words, pairs and triples together come to ``least`` (or to 255, which is as good a sieve)."""
     mask, most = np.uint64(slots - 1), np.uint8(min(least, 255))
 
     def count(batches):
         counts = np.zeros(slots, np.uint8)  # counting stops at ``most``
         for batch in batches:
             for _, _, words, same in words_of(batch.column(0), batch.column(1)):
-                at, n = np.unique(np.concatenate([words, pair_hashes(words)[same]]) & mask, return_counts=True)
+                grams = [words, pair_hashes(words)[same], triple_hashes(words)[same & later(same)]]
+                at, n = np.unique(np.concatenate(grams) & mask, return_counts=True)
                 counts[at] = np.minimum(counts[at] + n, most)
         for block in range(0, slots, BLOCK):
             at = np.flatnonzero(counts[block:block + BLOCK])
@@ -129,9 +143,11 @@ def longest_grams(docs: DataFrame, bits) -> DataFrame:
         for batch in batches:
             for langs, words, hashes, same in words_of(batch.column(0), batch.column(1)):
                 linked = same & has(bits.value, pair_hashes(hashes))
-                size = np.ones(len(hashes), np.int64)
-                for _ in range(LONGEST - 1):  # a gram goes on as the one at the next word does
-                    size[:-1] = np.where(linked[:-1], np.minimum(size[1:] + 1, LONGEST), 1)
+                whole = linked & later(linked) & has(bits.value, triple_hashes(hashes))
+                triples = np.zeros(len(hashes), np.int64)  # that follow one another from here on
+                for _ in range(LONGEST - 2):
+                    triples = np.where(whole, np.minimum(later(triples) + 1, LONGEST - 2), 0)
+                size = np.where(linked, 2 + triples, 1)
                 keep = has(bits.value, hashes)
                 which, phrases = [], []
                 for k in range(1, LONGEST + 1):
@@ -226,8 +242,11 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, top:
     cuts = cuts.join(part("_l", "l"), ["lang", "_l"]).join(part("_r", "r"), ["lang", "_r"])
     score = F.expr("cast(2000000 as decimal(10,0)) * cast(a as decimal(19,0)) div (cast(l as decimal(19,0)) + cast(r as decimal(19,0)))")
     lowest = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("s"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = lowest.select("lang", "phrase", "a", "s.l", "s.r", "s.score").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # the first of each part of a language, then of those parts: no task ranks all phrases of a large language
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+    best = lowest.select("lang", "phrase", "a", "s.l", "s.r", "s.score").withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     every = grams.where("phrase = ''").select("lang", "n")
     return best.join(every, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
