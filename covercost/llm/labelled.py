@@ -17,19 +17,16 @@ def training_labels(labels: DataFrame, label: str) -> DataFrame:
     return own.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, balanced: bool = False) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """doc_id, text and y of ``per_class`` documents of either class (all, if fewer): those with the smallest hashes of their ids.
 
     Only documents outside the held-out bucket are taken; null ids and labels
-    are left out.  ``balanced`` takes no more of either class than the smaller
-    one has.  The chosen ids are few at any size of the tables, so they are
+    are left out.  The chosen ids are few at any size of the tables, so they are
     broadcast and no text of another document moves.
     """
     own = training_labels(labels, label)
-    sizes = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    most = min(per_class, *sizes.values()) if balanced and sizes else per_class
     by_hash = (F.xxhash64("_id", F.lit(11)), "_id")
-    chosen = own.where("y = 0").orderBy(*by_hash).limit(most).unionByName(own.where("y = 1").orderBy(*by_hash).limit(most))
+    chosen = own.where("y = 0").orderBy(*by_hash).limit(per_class).unionByName(own.where("y = 1").orderBy(*by_hash).limit(per_class))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
 

@@ -1,17 +1,21 @@
-"""Operator 1: toxicity by class-conditional word models with absolute discounting.
-
-Toxic and ordinary documents each get an interpolated bigram model over as many
-documents; words and pairs are counted in documents, so a repeated line counts
-once (these aren't Kneser-Ney's counts of distinct words before).  Both smooth into one shared backoff: in how many documents of the
-whole corpus a word occurs (unlabelled ones included).  Words and pairs of fewer
-training documents than LEAST_SHARE of them get the shared backoff alone, which
-cancels, and so do ratios within MARGIN.  A document's evidence is its toxic
-minus its ordinary log-likelihood per word; a logistic curve fitted on a part
-of the training documents that the models didn't see turns it into a score.
-
-Models are learned from at most about 2 * PER_CLASS labelled documents outside
-the held-out bucket (a documented bound, which bounds what is broadcast); the
-shared counts cover all documents.
+"""Operator 1: toxicity by class-conditional Kneser-Ney word models.
+
+Toxic and ordinary documents each get an interpolated Kneser-Ney bigram model.
+Pairs are counted in documents, so a repeated line counts once; a word counts by its distinct predecessors in the class.  Absolute
+discounts (from counts of counts) and a concentration hand mass down: pairs to
+the class's words, and those to one shared distribution, the distinct
+predecessors of each word in the whole corpus, unlabelled documents included.
+Every seen word and pair is kept.  A document's evidence is its toxic minus its
+ordinary log-likelihood per word, less what words after the same contexts have
+on average in training (of contexts that are rare there, little), so that the
+classes' mix of languages and subjects is no evidence.  A part of the training documents that the
+models didn't see chooses the concentrations (most pairs of a toxic and an
+ordinary document in order) and fits the logistic curve that gives the score.
+
+Models are learned from at most 2 * PER_CLASS labelled documents outside the
+held-out bucket (a documented bound, which bounds what is broadcast); the
+shared counts cover all documents.  They are estimated by multiresolution
+bitmaps, which merge by bitwise or: no pair of words leaves its task.
 
 Defined cases: null, blank or wordless text scores the calibrated prior of no
 evidence; documents of any length are scored whole; repeated rows give repeated
@@ -21,6 +25,8 @@ an empty result; lang, source and further columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,11 +37,13 @@ from covercost.llm.base import NOT_ALNUM, mix, slices, stage, stream, table, tex
 from covercost.llm.labelled import held_out, sample
 
 PER_CLASS = 4000
-#: Training documents that a word or pair of the class models occurs in at least: this share of them, or this many.
-LEAST_SHARE, LEAST_DOCS = 0.006, 5
-#: Log-likelihood ratios closer to 0 than this are the classes' mix of languages and subjects, not toxicity, and count as 0.
-MARGIN = np.log(5)
-DISCOUNT = 0.75
+#: Concentrations to choose from, in parts of a class's counts: of its words on the shared distribution, of a word's pairs on the class's words.
+WORD_WEIGHTS, PAIR_WEIGHTS = (0.0, 1.0, 10.0, 100.0), (0.0, 1.0, 100.0, 10_000.0)
+#: Bitmaps of LEVELS resolutions count a word's distinct predecessors, each those whose hash ends in 4 more zero bits than the one before;
+#: the first one with at most FULL of its 64 bits set is read.
+LEVELS, FULL = 6, 52
+#: A context followed by this many words of the training documents counts half when a text's usual ratio is taken from its contexts.
+SURE = 10
 #: Of the training documents one in CALIBRATE fits the score curve instead of the models.
 CALIBRATE = 4
 _LEFT, _RIGHT = stream(121, 2)
@@ -57,30 +65,52 @@ def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(before * _LEFT + words * _RIGHT)
 
 
+def merged(words: np.ndarray, maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, and the bitwise or of each one's rows of ``maps``."""
+    order = np.argsort(words)
+    words = words[order]
+    new = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1]))) if len(words) else np.zeros(0, np.int64)
+    return words[new], np.bitwise_or.reduceat(maps[order], new) if len(new) else maps[:0]
+
+
+def bitmaps(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """One bit for each word's predecessor in every level that takes it."""
+    own = pair_keys(before, words)
+    bit = np.uint64(1) << (own >> np.uint64(58))
+    return np.stack([np.where(own & np.uint64((1 << 4 * k) - 1) == 0, bit, np.uint64(0)) for k in range(LEVELS)], axis=1)
+
+
+def distinct(columns: list[str]):
+    """The number of distinct predecessors that bitmaps tell: by linear counting in the first level that isn't full."""
+    out = None
+    for k in reversed(range(LEVELS)):
+        free = 64 - F.bit_count(F.col(columns[k]))
+        here = F.lit(64.0 * 16**k) * F.log(F.lit(64.0) / F.greatest(free, F.lit(1)))
+        out = here if out is None else F.when(free >= 64 - FULL, here).otherwise(out)
+    return out
+
+
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """word -> number of documents that hold it, over all documents."""
+    """word -> number n of distinct words before it (a text's beginning is one) in all documents, estimated."""
+    names = [f"b{k}" for k in range(LEVELS)]
 
     def count(batches):
         for batch in batches:
-            for _, hi, doc, words, _ in tokens(batch.column(0)):
-                order = np.lexsort((words, doc))
-                w, d = words[order], doc[order]
-                new = np.ones(len(w), bool)
-                new[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
-                key, n = np.unique(w[new], return_counts=True)
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n)], names=["word", "n"])
+            for _, _, _, words, before in tokens(batch.column(0)):
+                keys, maps = merged(words, bitmaps(before, words))
+                yield pa.record_batch([pa.array(keys.view(np.int64)), *(pa.array(maps[:, k].copy().view(np.int64)) for k in range(LEVELS))], names=["word", *names])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    seen = docs.select(F.col("text").cast("string")).mapInArrow(count, "word long, " + ", ".join(f"{x} long" for x in names))
+    return seen.groupBy("word").agg(*(F.bit_or(x).alias(x) for x in names)).select("word", distinct(names).alias("n"))
 
 
 def class_counts(train: DataFrame) -> DataFrame:
-    """(y, before, word) -> number of training documents; ``before`` is 0 for the word whatever stands before it."""
+    """(before, word) -> number of training documents of either class, n0 and n1."""
 
     def count(batches):
         for batch in batches:
             y = batch.column(1).to_numpy()
             for lo, _, doc, words, before in tokens(batch.column(0)):
-                doc, before, words = np.tile(doc, 2), np.concatenate([before, np.zeros_like(before)]), np.tile(words, 2)
                 order = np.lexsort((words, before, doc))
                 doc, before, words = doc[order], before[order], words[order]
                 new = np.ones(len(doc), bool)
@@ -91,49 +121,82 @@ def class_counts(train: DataFrame) -> DataFrame:
     return seen.groupBy("before", "word").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1"))
 
 
+def discount(n: np.ndarray) -> float:
+    """Kneser and Ney's estimate from how many counts are 1 and 2."""
+    once, twice = (n == 1).sum(), (n == 2).sum()
+    return float(once / (once + 2 * twice)) if once and twice else 0.75
+
+
+class Counts:
+    """Pairs, words and contexts in sorted hash arrays, with either class's counts of them."""
+
+    def __init__(self, before: np.ndarray, word: np.ndarray, n: list[np.ndarray]):
+        """``n``: for each class, the documents that hold the pair (before, word)."""
+        order = np.argsort(pair_keys(before, word))
+        before, word = before[order], word[order]
+        self.keys, self.n = pair_keys(before, word), [x[order] for x in n]
+        self.words, self.word_of = np.unique(word, return_inverse=True)
+        self.contexts, self.context_of = np.unique(before, return_inverse=True)
+        self.before = [np.bincount(self.word_of, x > 0, len(self.words)) for x in self.n]  # distinct predecessors
+
+    def ratios(self, shared: np.ndarray, word_weight: float, pair_weight: float) -> Model:
+        """``shared``: probability of each of ``words`` in the shared distribution."""
+        of_word, of_context, of_pair, unseen = 0.0, 0.0, 0.0, 0.0
+        for sign, pairs, n in zip((-1, 1), self.n, self.before, strict=True):
+            total = max(1.0, n.sum())
+            d = discount(n)
+            left = (np.minimum(n, d).sum() + word_weight * total) / (total * (1 + word_weight)) or 1.0
+            p = np.maximum(n - d, 0) / (total * (1 + word_weight)) + left * shared
+            d = discount(pairs)
+            size = np.bincount(self.context_of, pairs, len(self.contexts)) + pair_weight * total
+            back = np.bincount(self.context_of, np.minimum(pairs, d), len(self.contexts)) + pair_weight * total
+            back = np.where(size > 0, back / np.maximum(size, 1e-300), 1.0)
+            full = np.maximum(pairs - d, 0) / np.maximum(size, 1e-300)[self.context_of] + back[self.context_of] * p[self.word_of]
+            of_word, of_context, of_pair, unseen = of_word + sign * np.log(p), of_context + sign * np.log(back), of_pair + sign * np.log(full), unseen + sign * np.log(left)
+        seen = self.n[0] + self.n[1]
+        sure = np.bincount(self.context_of, seen, len(self.contexts))
+        norm = np.bincount(self.context_of, seen * of_word[self.word_of], len(self.contexts)) / np.maximum(sure, 1)
+        sure = sure / (sure + SURE)
+        return Model(self.keys, self.words, self.contexts, *(x.astype(np.float32) for x in (of_pair, of_word, of_context, norm, sure)), float(unseen))
+
+
+@dataclass
 class Model:
-    """Log-likelihood ratios in sorted hash arrays: of pairs, and of words after a context without them."""
-
-    def __init__(self, words: pa.Table, pairs: pa.Table, sums: list[tuple[int, int]], total: int, kinds: int):
-        """``words``: word, n0, n1 and corpus count n; ``pairs``: before, word, n0, n1; ``sums``: (count, kinds) of each class's words."""
-        order = np.argsort(words.column("word").to_numpy().view(np.uint64))
-        self.words = words.column("word").to_numpy().view(np.uint64)[order]
-        shared = (words.column("n").to_numpy()[order] + 1) / (total + kinds + 1)
-        count = [words.column(f"n{c}").to_numpy()[order] for c in (0, 1)]
-        p = []
-        for c, (n, k) in enumerate(sums):
-            p.append((np.maximum(count[c] - DISCOUNT, 0) + DISCOUNT * k * shared) / max(1, n))
-        self.of_word = marked(p)
-        before, word = (pairs.column(c).to_numpy().view(np.uint64) for c in ("before", "word"))
-        at = find(self.words, word)
-        context = find(self.words, before)  # a context that is no model word (a text's beginning too) has its pairs' counts
-        contexts, c_at = np.unique(before, return_inverse=True)
-        full = []
-        for c in (0, 1):
-            n = pairs.column(f"n{c}").to_numpy()
-            context_n = np.maximum(np.where(context >= 0, count[c][context], 0), np.bincount(c_at, n, len(contexts))[c_at])
-            context_k = np.bincount(c_at, n > 0, len(contexts))[c_at]
-            back = np.where(context_n > 0, 1 - np.bincount(c_at, np.maximum(n - DISCOUNT, 0), len(contexts))[c_at] / np.maximum(context_n, 1), 1.0)
-            full.append(np.maximum(n - DISCOUNT, 0) / np.maximum(context_n, 1) + np.maximum(back, DISCOUNT * np.maximum(context_k, 1) / np.maximum(context_n, 1)) * p[c][at])
-        keys = pair_keys(before, word)
-        order = np.argsort(keys)
-        self.keys, self.of_pair = keys[order], marked(full)[order]
+    """Toxic minus ordinary log-probability of pairs; of words, and of contexts' backoff weights, for pairs that neither class has.
+
+    ``norm`` is the average over the words seen after each context, and ``sure`` its weight.
+    """
+
+    keys: np.ndarray
+    words: np.ndarray
+    contexts: np.ndarray
+    of_pair: np.ndarray
+    of_word: np.ndarray
+    of_context: np.ndarray
+    norm: np.ndarray
+    sure: np.ndarray
+    unseen: float
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """Toxic minus ordinary log-likelihood per word of each text; 0 without words."""
         out = np.zeros(len(texts))
         for lo, hi, doc, words, before in tokens(texts):
             k = find(self.keys, pair_keys(before, words))
-            w = find(self.words, words)
-            each = np.where(k >= 0, self.of_pair[k] if len(self.keys) else 0, np.where(w >= 0, self.of_word[w], 0))
-            n = np.bincount(doc, minlength=hi - lo)
-            out[lo:hi] = np.bincount(doc, each, hi - lo) / np.maximum(n, 1)
+            each = self.of_pair[k]
+            c = find(self.contexts, before)
+            rest = np.flatnonzero(k < 0)
+            w = find(self.words, words[rest])
+            each[rest] = np.where(w >= 0, self.of_word[w], self.unseen) + np.where(c[rest] >= 0, self.of_context[c[rest]], 0)
+            sure = np.where(c >= 0, self.sure[c], 0)
+            usual = np.bincount(doc, sure * self.norm[c], hi - lo) / np.maximum(np.bincount(doc, sure, hi - lo), 1e-9)
+            out[lo:hi] = np.bincount(doc, each, hi - lo) / np.maximum(np.bincount(doc, minlength=hi - lo), 1) - usual
         return out
 
 
-def marked(p: list[np.ndarray]) -> np.ndarray:
-    ratio = np.log(p[1] / p[0])
-    return np.where(np.abs(ratio) >= MARGIN, ratio, 0).astype(np.float32)
+def in_order(x: np.ndarray, y: np.ndarray) -> float:
+    """Share of the pairs of a toxic and an ordinary text of which the toxic one has more evidence (ties: half)."""
+    bad, fine = x[y == 1], np.sort(x[y == 0])
+    return float((np.searchsorted(fine, bad) + np.searchsorted(fine, bad, side="right")).mean() / 2 / len(fine))
 
 
 def find(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -162,22 +225,30 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame):
     """(model, slope, offset), or None without training documents of both classes."""
-    train = stage(spark, sample(docs, labels, "toxic", PER_CLASS, balanced=True), "toxic-sample")
+    train = stage(spark, sample(docs, labels, "toxic", PER_CLASS), "toxic-sample")
     fit = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(CALIBRATE)) == 0
-    seen = stage(spark, class_counts(train.where(~fit)), "toxic-counts")
-    counts = stage(spark, corpus_counts(docs), "word-counts")
-    total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
-    single = seen.where("before = 0")
-    sums = single.agg(*(F.struct(F.coalesce(F.sum(f"n{c}"), F.lit(0)), F.count(F.when(F.col(f"n{c}") > 0, 1))) for c in (0, 1))).first()
-    least = max(LEAST_DOCS, int(LEAST_SHARE * train.where(~fit).count()))
-    words = single.where(f"n0 + n1 >= {least}").withColumnRenamed("word", "_word")
-    known = counts.join(words, F.col("word") == F.col("_word")).select("word", "n0", "n1", "n").toArrow()
-    pairs = seen.where(f"before <> 0 and n0 + n1 >= {least}").toArrow()
+    pairs = class_counts(train.where(~fit)).toArrow()
     held = train.where(fit).select("text", "y").toArrow()
-    if not len(known) or len(set(held.column("y").to_pylist())) < 2:
+    y = held.column("y").to_numpy()
+    if not len(pairs) or len(set(y.tolist())) < 2:
         return None
-    model = Model(known, pairs, [tuple(x) for x in sums], total, kinds)
-    return (model, *logistic(model.evidence(held.column("text")), held.column("y").to_numpy()))
+    before, word = (pairs.column(c).to_numpy().view(np.uint64) for c in ("before", "word"))
+    counts = Counts(before, word, [pairs.column(f"n{c}").to_numpy() for c in (0, 1)])
+    corpus = stage(spark, corpus_counts(docs), "word-counts")
+    total, kinds = corpus.agg(F.sum("n"), F.count("*")).first()
+    of_pairs = spark.createDataFrame(pa.table({"_word": counts.words.view(np.int64)}))
+    known = corpus.join(F.broadcast(of_pairs), F.col("word") == F.col("_word")).select("word", "n").toArrow()
+    n = np.zeros(len(counts.words))
+    n[find(counts.words, known.column("word").to_numpy().view(np.uint64))] = known.column("n").to_numpy()
+    shared = (n + 1) / (total + kinds + 1)
+    best = None
+    for word_weight in WORD_WEIGHTS:
+        for pair_weight in PAIR_WEIGHTS:
+            model = counts.ratios(shared, word_weight, pair_weight)
+            x = model.evidence(held.column("text"))
+            if best is None or in_order(x, y) > best[0]:
+                best = in_order(x, y), model, x
+    return (best[1], *logistic(best[2], y))
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
