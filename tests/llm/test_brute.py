@@ -247,3 +247,17 @@ def test_distinct_predecessors_are_estimated(spark):
     hashes = {n: int(next(toxicity.tokens(pa.array([f"word{n}"])))[3].view(np.int64)[0]) for n in (1, 5, 40, 300, 3000, 30000)}
     got = {r.word: r.n for r in toxicity.corpus_counts(docs).collect()}
     assert abs(got[hashes[1]] - 1) < 0.1 and all(0.5 * n < got[h] < 1.6 * n for n, h in hashes.items())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B.", "@", "x-y", ".de", " ", "-", "+", "1", "25", "256", "4", "0", "(", ")", ".", "4111", "1111", "@@", "é"]), max_size=30).map("".join))
+def test_base_spans(text):
+    """All four kinds against the plain patterns."""
+    digits = lambda t: [int(c) for c in t if c in "0123456789"]
+    luhn = lambda d: sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(d[::-1])) % 10 == 0
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True),
+             ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(x) <= 255 for x in t.split("."))),
+             ("card", r"[0-9]([\x20-]?[0-9])+", lambda t: 14 <= len(digits(t)) <= 19 and luhn(digits(t))),
+             ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 10 <= len(digits(t)) <= 15)]
+    want = sorted((m.start(), k, m.end(), name) for k, (name, pattern, valid) in enumerate(kinds) for m in re.finditer(pattern, text) if valid(m[0]))
+    assert pii.base_spans(text) == [(a, b, name) for a, _, b, name in want]
