@@ -6,7 +6,7 @@ of the shorter n-grams follow from the 4-gram table.  The models are sorted
 hash arrays: for each n-gram that any language has seen, its interpolated
 log-probability in every language, and for each context its backoff weight.  A
 text is given the language of the lowest cross-entropy per character; the
-score is that language's probability on a scale fitted to training documents,
+score is that language's probability on a scale fitted to all training documents,
 and ``rejected`` tells that the cross-entropy is higher than nearly all
 training texts of the language have.
 
@@ -32,16 +32,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covercost.llm.base import bucket_of, few_of, mix, slices, stage, table, text_bytes
+from covercost.llm.base import bucket_of, mix, slices, stage, table, text_bytes
 from covercost.llm.byte_bpe import LETTER, code_point_classes
-from covercost.llm.labelled import held_out
+from covercost.llm.labelled import held_out, order_statistics
 
 BUCKETS, HELD_OUT = 4, 2
 ORDER, DISCOUNT = 4, 0.75
 #: N-gram and language pairs of a shard (more, if the 4-grams of one pair of middle units have more).
 MODEL_CELLS = 4_000_000
-#: Training documents that fit the score's scale and the rejection limits.
-CALIBRATE = 2_000
+#: Scales of the score to choose from, by the mean loss over all training documents.
+SCALES = [2.0**k for k in range(-2, 8)]
 REJECTED_SHARE = 0.001
 
 
@@ -169,22 +169,10 @@ def middles(gram: np.ndarray) -> np.ndarray:
 
 
 class Curve:
-    """The scale that makes the languages' probabilities likeliest, and each language's rejection limit."""
-
-    def __init__(self, langs: list[str], h: np.ndarray | None = None, lang: np.ndarray | None = None):
-        """``h``: cross-entropies of training texts, whose languages are ``lang``."""
-        self.langs, self.scale, self.limits = langs, 1.0, np.full(len(langs), np.inf)
-        if h is None or not len(h):
-            return
-        loss = []
-        scales = [2.0**k for k in range(-2, 8)]
-        for s in scales:
-            z = -s * (h - h.min(axis=1, keepdims=True))
-            loss.append(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(h)), lang]))
-        self.scale = scales[int(np.argmin(loss))]
-        for k in range(len(langs)):
-            if (lang == k).any():
-                self.limits[k] = np.quantile(h[lang == k, k], 1 - REJECTED_SHARE) * 1.1
+    """The scale that makes the languages' probabilities likeliest, and each language's rejection limit (see ``fitted``)."""
+
+    def __init__(self, langs: list[str], scale: float = 1.0, limits: np.ndarray | None = None):
+        self.langs, self.scale, self.limits = langs, scale, np.full(len(langs), np.inf) if limits is None else limits
 
     def results(self, logs: np.ndarray, size: np.ndarray, letter: np.ndarray) -> list[pa.Array]:
         """lang_pred, score, cross_entropy and rejected of texts."""
@@ -226,25 +214,51 @@ def shards(found: DataFrame, langs: list[str]) -> Iterator[Models]:
         yield Models(langs, {4: (lang, gram, n), 3: three, 2: two, 1: one}, first, end)
 
 
-def learn(spark: SparkSession, docs: DataFrame) -> tuple[list, Curve] | None:
-    """Broadcast shards of the models, and the score's curve; None without any language."""
+def learn(spark: SparkSession, docs: DataFrame) -> tuple[list[str], list] | None:
+    """The languages and the broadcast shards of their models; None without any language."""
     train = docs.where("lang is not null and text is not null").where(bucket_of("doc_id", BUCKETS) != HELD_OUT)
     train = train.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
     found = stage(spark, counts(train.select("lang", "text")), "char-grams")
     langs = [r.lang for r in found.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return None
-    some = few_of(train, CALIBRATE, 8).select("lang", "text").toArrow()
-    logs, shared = np.zeros((len(some), len(langs))), []
-    for models in shards(found, langs):
-        if len(some):
-            part, points, letter = models.log_likelihoods(some.column("text"))
-            logs += part
-        shared.append(spark.sparkContext.broadcast(models))
-    if not len(some):
-        return shared, Curve(langs)
-    lang = np.searchsorted(np.array(langs), np.array(some.column("lang").to_pylist()))
-    return shared, Curve(langs, (-logs / np.maximum(1, points)[:, None])[letter], lang[letter])
+    return langs, [spark.sparkContext.broadcast(models) for models in shards(found, langs)]
+
+
+def fitted(scored: DataFrame, langs: list[str]) -> Curve:
+    """The curve of all training documents of ``scored`` (written rows with ``lang``, null for others, and log-likelihoods)."""
+    own = scored.where("lang is not null and letter")
+
+    def losses(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            h = -likelihoods(batch, langs) / np.maximum(1, batch.column("size").to_numpy())[:, None]
+            lang = np.searchsorted(np.array(langs), np.array(batch.column("lang").to_pylist()))
+            own = np.arange(len(h)), lang
+            low = h.min(axis=1, keepdims=True)
+            each = [np.log(np.exp(-s * (h - low)).sum(axis=1)) + s * (h - low)[own] for s in SCALES]
+            yield pa.record_batch([pa.array(lang.astype(np.int32)), pa.array(h[own]), *(pa.array(x) for x in each)], names=["g", "v", *names])
+
+    names = [f"s{k}" for k in range(len(SCALES))]
+    h = stage(scored.sparkSession, own.mapInArrow(losses, "g int, v double, " + ", ".join(f"{x} double" for x in names)), "language-fit")
+    sums = h.groupBy("g").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in names)).collect()
+    if not sums:
+        return Curve(langs)
+    # the last digits of a sum depend on the order of its rows
+    scale = SCALES[int(np.argmin([round(sum(r[x] for r in sums) / sum(r.n for r in sums), 9) for x in names]))]
+    wanted = {r.g: (1 - REJECTED_SHARE) * (r.n - 1) for r in sums}
+    at = [(g, k) for g, x in wanted.items() for k in (int(x), min(int(x) + 1, int(np.ceil(x))))]
+    value = dict(zip(at, order_statistics(h.select("g", "v"), at), strict=True))
+    limits = np.full(len(langs), np.inf)
+    for g, x in wanted.items():
+        low, high = value[g, int(x)], value[g, min(int(x) + 1, int(np.ceil(x)))]
+        limits[g] = (low + (high - low) * (x - int(x))) * 1.1
+    return Curve(langs, scale, limits)
+
+
+def likelihoods(batch: pa.RecordBatch, langs: list[str]) -> np.ndarray:
+    return np.stack([batch.column(f"l{k}").to_numpy() for k in range(len(langs))], axis=1)
 
 
 RESULT = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -254,47 +268,44 @@ def finished(ids: pa.Array, results: list[pa.Array]) -> pa.RecordBatch:
     return pa.record_batch([ids.cast(pa.int64()), *results], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
 
-def in_shards(spark: SparkSession, docs: DataFrame, shared: list, curve: Curve) -> DataFrame:
-    """RESULT of every row: a pass over the written rows for each shard, and the shards' sums by row."""
-    docs = stage(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "language-texts")
+def scored_rows(spark: SparkSession, docs: DataFrame, langs: list[str], shared: list) -> DataFrame:
+    """doc_id, lang (of training documents, else null), size, letter and log-likelihoods l0.. of every row, written."""
+    names = ["row", "doc_id", "lang", "size", "letter", *(f"l{k}" for k in range(len(langs)))]
+    if len(shared) > 1:
+        docs = stage(spark, docs, "language-texts")  # read once for each shard, with the same row numbers
     every = None
     for model in shared:
 
         def part(batches, model=model):
             for batch in batches:
-                logs, size, letter = model.value.log_likelihoods(batch.column(1))
+                logs, size, letter = model.value.log_likelihoods(batch.column("text"))
                 columns = [pa.array(logs[:, k]) for k in range(logs.shape[1])]
-                yield pa.record_batch([batch.column(2), batch.column(0), pa.array(size), pa.array(letter), *columns], names=names)
+                yield pa.record_batch([batch.column("row"), batch.column("doc_id"), batch.column("lang"), pa.array(size), pa.array(letter), *columns], names=names)
 
-        names = ["row", "doc_id", "size", "letter", *(f"l{k}" for k in range(len(curve.langs)))]
-        own = docs.mapInArrow(part, f"row long, doc_id long, size long, letter boolean, {', '.join(f'{x} double' for x in names[4:])}")
+        own = docs.mapInArrow(part, f"row long, doc_id long, lang string, size long, letter boolean, {', '.join(f'{x} double' for x in names[5:])}")
         every = own if every is None else every.union(own)
-    sums = every.groupBy("row", "doc_id", "size", "letter").agg(*(F.sum(x).alias(x) for x in names[4:]))
-
-    def finish(batches):
-        for batch in batches:
-            logs = np.stack([batch.column(x).to_numpy() for x in names[4:]], axis=1)
-            yield finished(batch.column("doc_id"), curve.results(logs, batch.column("size").to_numpy(), batch.column("letter").to_numpy(zero_copy_only=False)))
-
-    return sums.mapInArrow(finish, RESULT)
+    if len(shared) > 1:
+        every = every.groupBy(*names[:5]).agg(*(F.sum(x).alias(x) for x in names[5:]))
+    return stage(spark, every, "language-scores")
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy and rejected of every row."""
     learned = learn(spark, docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if learned is None:
-        out = texts.selectExpr("doc_id", "'und' lang_pred", "0D score", "cast(null as double) cross_entropy", "false rejected")
-    elif len(learned[0]) > 1:
-        out = in_shards(spark, texts, *learned)
+        out = docs.selectExpr("cast(doc_id as long) doc_id", "'und' lang_pred", "0D score", "cast(null as double) cross_entropy", "false rejected")
     else:
-        (only,), curve = learned
+        langs = learned[0]
+        lang = F.when(F.col("text").isNotNull() & (bucket_of("doc_id", BUCKETS) != HELD_OUT), F.col("lang").cast("string"))
+        texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
+        scored = scored_rows(spark, texts, *learned)
+        curve = fitted(scored, langs)
 
-        def run(batches):
+        def finish(batches):
             for batch in batches:
-                yield finished(batch.column(0), curve.results(*only.value.log_likelihoods(batch.column(1))))
+                yield finished(batch.column("doc_id"), curve.results(likelihoods(batch, langs), batch.column("size").to_numpy(), batch.column("letter").to_numpy(zero_copy_only=False)))
 
-        out = texts.mapInArrow(run, RESULT)
+        out = scored.mapInArrow(finish, RESULT)
     return out.select("doc_id", held_out(n=BUCKETS, bucket=HELD_OUT).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
