@@ -34,9 +34,9 @@ from covercost.llm.base import powers, mix, slices, stream, table, text_bytes
 #: Longest word, in bytes, that the single recursive query takes.
 LONG = 64
 #: Distinct words that one query takes, and that a Python worker remembers between batches.
-CHUNK, REMEMBERED = 30_000, 150_000
+CHUNK, REMEMBERED = 8_000, 150_000
 #: Text bytes of the rows whose words are encoded together.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: The suffixes that the pattern splits off after a single apostrophe.
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -141,13 +141,9 @@ ENCODED = """
 
 
 class Coder:
-    """A DuckDB connection with the merge table and vocabulary, and the words encoded last."""
+    """The merge table and vocabulary, a DuckDB connection that holds them while a task runs, and the words encoded last."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.db = duckdb.connect()
-        self.db.execute("set threads = 1")
-        self.db.execute("set memory_limit = '256MB'")
-        self.db.execute("set enable_progress_bar = false")
         left, right, ids = [], [], []
         for token, rank in ranks.items():
             for k in range(1, len(token)):
@@ -156,12 +152,29 @@ class Coder:
                     left.append(a), right.append(b), ids.append(rank)
         vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
         merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "id": pa.array(ids, pa.int32())})
-        for name, t in (("vocab", vocab), ("merges", merges)):
-            self.db.register("_t", t)
-            self.db.execute(f"create table {name} as select * from _t")
-            self.db.unregister("_t")
+        self.tables = {"vocab": vocab, "merges": merges}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[int, bytes] = {}
+        self.db: duckdb.DuckDBPyConnection | None = None
+        self.open()
+
+    def open(self) -> None:
+        if self.db is None:
+            self.db = duckdb.connect()
+            self.db.execute("set threads = 1")
+            self.db.execute("set memory_limit = '256MB'")
+            self.db.execute("set enable_progress_bar = false")
+            for name, t in self.tables.items():
+                self.db.register("_t", t)
+                self.db.execute(f"create table {name} as select * from _t")
+                self.db.unregister("_t")
+
+    def rest(self) -> None:
+        """Give back what only a running task needs: the worker stays, and shares its executor's memory with later stages."""
+        if self.db is not None:
+            self.db.close()
+            self.db = None
+        pa.default_memory_pool().release_unused()
 
     def _start(self, words: list[bytes]) -> pa.Table:
         sizes = np.array([len(w) for w in words])
@@ -266,6 +279,7 @@ def coder(ranks: dict[bytes, int]) -> Coder:
     if key not in _coders:
         _coders.clear()
         _coders[key] = Coder(ranks)
+    _coders[key].open()
     return _coders[key]
 
 
@@ -276,25 +290,31 @@ def encode_decode(spark: SparkSession, docs: DataFrame, path: str | None = None,
 
     def code(batches):
         own = None
-        for batch in batches:
-            own = own or coder(shared.value)
-            for lo, hi in slices(text_bytes(batch.column(1))[1], BATCH_BYTES):
-                part = batch.slice(lo, hi - lo)
-                rows, coded, raw = [], [], []
-                for n, i, d in own.texts(part.column(1)):
-                    rows.append((n, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()))
-                    if ids:
-                        coded.append(np.fromstring(i.tobytes(), np.int32, sep=" "))
+        try:
+            for batch in batches:
+                own = own or coder(shared.value)
+                for lo, hi in slices(text_bytes(batch.column(1))[1], BATCH_BYTES):
+                    part = batch.slice(lo, hi - lo)
+                    rows, coded, raw = [], [], []
+                    for n, i, d in own.texts(part.column(1)):
+                        rows.append((n, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()))
+                        if ids:
+                            coded.append(np.fromstring(i.tobytes(), np.int32, sep=" "))
+                        if decoded:
+                            raw.append(d.tobytes())
+                    cols = [part.column(0).cast(pa.int64()), pa.array([n for n, _, _ in rows], pa.int64()),
+                            pa.array([i for _, i, _ in rows], pa.string()), pa.array([d for _, _, d in rows], pa.string())]
+                    if ids:  # one flat array, cut by its offsets
+                        ends = np.concatenate(([0], np.cumsum([n for n, _, _ in rows])))
+                        cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*coded, np.zeros(0, np.int32)]))))
                     if decoded:
-                        raw.append(d.tobytes())
-                cols = [part.column(0).cast(pa.int64()), pa.array([n for n, _, _ in rows], pa.int64()),
-                        pa.array([i for _, i, _ in rows], pa.string()), pa.array([d for _, _, d in rows], pa.string())]
-                if ids:  # one flat array, cut by its offsets
-                    ends = np.concatenate(([0], np.cumsum([n for n, _, _ in rows])))
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*coded, np.zeros(0, np.int32)]))))
-                if decoded:
-                    cols.append(pa.array(raw, pa.binary()))
-                yield pa.record_batch(cols, names=[f.split()[0] for f in schema.split(", ")])
+                        cols.append(pa.array(raw, pa.binary()))
+                    yield pa.record_batch(cols, names=[f.split()[0] for f in schema.split(", ")])
+                    del part, rows, coded, raw, cols
+                    pa.default_memory_pool().release_unused()
+        finally:
+            if own:
+                own.rest()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(code, schema)
 

@@ -82,3 +82,19 @@ def test_archives(spark):
     names, want = duck({"pages": pages}, warc.oracle())
     assert rows(warc.round_trip(spark, pages).select(names)) == want
     assert rows(warc.round_trip(spark, pages.limit(0))) == []
+
+
+def test_a_worker_at_rest_holds_no_database(spark):
+    docs = spark.createDataFrame([(k, f"words of document {k}") for k in range(40)], "doc_id long, text string").repartition(4)
+    first = rows(byte_bpe.encode_decode(spark, docs, ids=True))
+
+    def held(batches):
+        import pyarrow as pa
+
+        from covercost.llm import byte_bpe
+
+        for batch in batches:
+            yield pa.record_batch([pa.array([sum(c.db is not None for c in byte_bpe._coders.values())])], names=["n"])
+
+    assert spark.range(0, 40, 1, 4).mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 0
+    assert rows(byte_bpe.encode_decode(spark, docs, ids=True)) == first  # and opens it again
