@@ -12,8 +12,10 @@ the same everywhere, so a shard holds it as one symbol between the bytes before
 and after it.  Suffixes whose common prefix (permuted, by text position) with a
 neighbour covers LENGTH bytes or more are duplicates when they stand in one
 group.  A group of more than MOST_SEGMENTS segments isn't put into one shard:
-its distinct pieces' strings are compared one by one, by a hash each, in as
-many tasks as needed.
+its equal pieces are brought together, and if more than MOST_SEGMENTS distinct
+ones are left, these are cut again into parts of fewer strings with a longer
+core, which fall into smaller groups.  Parts of the last of the WIDTHS are one
+string each, and equal throughout.
 
 Induced sorting runs over byte buckets with whole arrays; the string of names
 of the leftmost-smaller substrings, whose alphabet is as long as itself, is
@@ -41,11 +43,13 @@ LENGTH, ANCHOR = 200, 40
 REACH = LENGTH - ANCHOR  # bytes on either side of an anchor that its strings may hold
 PARTS = 4
 CORE = LENGTH - REACH // PARTS
-WINDOW = LENGTH - CORE + 1  # symbols of a string whose core is one symbol
+#: Places that strings may have in a part, at first and where groups are cut again: a string is as many symbols, its core being one.
+WIDTHS = (LENGTH - CORE + 1, 11, 1)
 #: Segments that a group may put into one shard, and symbols that one suffix array covers.
 MOST_SEGMENTS, ARRAY_SYMBOLS = 1024, 1 << 19
 _LEFT, _RIGHT = stream(51, 2)
 _VALUES = stream(52, 259)
+_PLACES = stream(53, WIDTHS[0])
 _BASE = 0xC2B2AE3D27D4EB4F
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -112,6 +116,18 @@ def parts(lo: np.ndarray, hi: np.ndarray, place: np.ndarray):
         yield p, rows, core[rows], a[rows], b[rows]
 
 
+def without_core(data: np.ndarray, a: np.ndarray, before: np.ndarray, core: int, size: np.ndarray) -> pa.Array:
+    """The ``size`` bytes of each span that starts at ``a``, without the ``core`` bytes that follow its first ``before``."""
+    ends = np.concatenate(([0], np.cumsum(size)))
+    within = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+    data = data[np.repeat(a, size) + within + core * (within >= np.repeat(before, size))]
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+PIECE = ["group", "key", "start", "left", "around", "known"]
+PIECES = "group long, key binary, start long, left int, around binary, known boolean"
+
+
 def cut_out(members: DataFrame) -> DataFrame:
     """A row for each part of each segment: its group (the core's hash), place, whether it is known to be repeated, and
     the bytes before (``left`` of them) and after the core."""
@@ -131,16 +147,38 @@ def cut_out(members: DataFrame) -> DataFrame:
                 place = own[doc] + pos[of[lo]:of[hi]]
                 for p, rows, core, a, b in parts(np.maximum(own[doc], place - REACH), np.minimum(own[doc + 1], place + LENGTH), place):
                     group = mix(span_hashes(prefix, core, core + CORE) + np.uint64(p + 1)).view(np.int64)
-                    before, size = core - a, b - a - CORE
-                    ends = np.concatenate(([0], np.cumsum(size)))
-                    within = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
-                    around = raw[np.repeat(a, size) + within + CORE * (within >= np.repeat(before, size))]
-                    around = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(around)])
+                    around = without_core(raw, a, core - a, CORE, b - a - CORE)
                     yield pa.record_batch([pa.array(group), batch.column(0).take(pa.array(lo + doc[rows])), pa.array(a - own[doc[rows]]),
-                                           pa.array(before.astype(np.int32)), around, known.take(pa.array(of[lo] + rows))],
-                                          names=["group", "key", "start", "left", "around", "known"])
+                                           pa.array((core - a).astype(np.int32)), around, known.take(pa.array(of[lo] + rows))], names=PIECE)
+
+    return members.mapInArrow(cut, PIECES)
+
+
+def cut_finer(pieces: DataFrame, width: int, narrower: int) -> DataFrame:
+    """The strings of ``pieces``, which have ``width`` places, in parts of ``narrower`` neighbouring places.
+
+    What the strings of a part have in common besides the old core (``shared``
+    bytes around it) joins the core, and so tells the part's group.
+    """
+    shared = width - narrower
+
+    def cut(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 2000):
+                part = batch.slice(lo, 2000)
+                group, key, start, left, around, known = part.columns
+                data, offsets = text_bytes(around.cast(pa.large_binary()))
+                prefix, first, end = prefix_hashes(data), offsets[:-1], offsets[1:]
+                for place in range(0, shared + 1, max(1, narrower - 1)):  # neighbouring parts may have a place in common
+                    core = first + left.to_numpy() - place
+                    a, b = np.maximum(first, core - narrower + 1), np.minimum(end, core + shared + narrower - 1)
+                    rows = np.flatnonzero((core >= first) & (core + shared <= end) & (b - a >= width - 1))
+                    at, core, a, b = pa.array(rows), core[rows], a[rows], b[rows]
+                    finer = mix(span_hashes(prefix, core, core + shared) + group.to_numpy().view(np.uint64)[rows] * _LEFT + _PLACES[place])
+                    yield pa.record_batch([pa.array(finer.view(np.int64)), key.take(at), pa.array(start.to_numpy()[rows] + a - first[rows]), pa.array((core - a).astype(np.int32)),
+                                           without_core(data, a, core - a, shared, b - a - shared), known.take(at)], names=PIECE)
 
-    return members.mapInArrow(cut, "group long, key binary, start long, left int, around binary, known boolean")
+    return pieces.mapInArrow(cut, PIECES)
 
 
 def kinds(s: np.ndarray) -> np.ndarray:
@@ -240,27 +278,27 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def repeated(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, group: np.ndarray, known: np.ndarray) -> np.ndarray:
+def repeated(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, group: np.ndarray, known: np.ndarray, width: int) -> np.ndarray:
     """(piece, offset) of each LENGTH-byte string that also stands in another piece of its group, or in a known one.
 
     The pieces are distinct; piece i is ``left[i]`` bytes, its group's core and
     the rest of its bytes.  The core is the same throughout a group, so it is
-    one symbol here, and a string is WINDOW symbols.
+    one symbol here, and a string is ``width`` symbols.
     """
-    width = np.diff(offsets)
-    sizes = width + 2
+    around = np.diff(offsets)
+    sizes = around + 2
     first = np.cumsum(sizes) - sizes
     s = np.ones(sizes.sum() + 1, np.int64)  # 1 ends a piece
     s[-1] = 0
     s[first + left] = 2
-    piece = np.repeat(np.arange(len(left)), width)
+    piece = np.repeat(np.arange(len(left)), around)
     within = np.arange(len(piece)) - offsets[piece]
     s[first[piece] + within + (within >= left[piece])] = data.astype(np.int64) + 3
     sa = suffix_array(s, 259)
-    shared = np.cumsum(common_prefixes(s, sa, WINDOW)[sa] < WINDOW)  # suffixes that begin with the same WINDOW symbols
+    shared = np.cumsum(common_prefixes(s, sa, width)[sa] < width)  # suffixes that begin with the same ``width`` symbols
     piece = np.searchsorted(first, sa, side="right") - 1
     offset = sa - first[piece]
-    whole = np.flatnonzero(offset + WINDOW < sizes[piece])
+    whole = np.flatnonzero(offset + width < sizes[piece])
     piece, offset, shared = piece[whole], offset[whole], shared[whole]
     order = np.lexsort((shared, group[piece]))
     piece, offset, shared = piece[order], offset[order], shared[order]
@@ -289,28 +327,30 @@ def runs(of: np.ndarray, offset: np.ndarray):
 INTERVAL = "key binary, first long, end long"
 
 
-def by_arrays(groups: DataFrame) -> DataFrame:
-    """Covered intervals of the pieces of ``groups``, compared within suffix arrays of whole groups."""
+def by_arrays(groups: DataFrame, width: int) -> DataFrame:
+    """Covered intervals of the pieces of ``groups``, but for known ones, compared within suffix arrays of whole groups."""
+    around = width - 1  # bytes of a string outside the core
 
     def done(held: list[pa.Table]):
         t = pa.concat_tables(held).combine_chunks()
         keys, start = t.column("key"), t.column("start").to_numpy()
-        left = t.column("left").to_numpy().astype(np.int64)
+        left, known = t.column("left").to_numpy().astype(np.int64), t.column("known").to_numpy()
         data, offsets = text_bytes(t.column("around").cast(pa.large_binary()))
         # equal pieces are repeated throughout; one of them is compared with the others
         _, group = np.unique(t.column("group").to_numpy(), return_inverse=True)
         same = mix(span_hashes(prefix_hashes(data), offsets[:-1], offsets[1:]) + group.astype(np.uint64) * _LEFT + left.astype(np.uint64) * _RIGHT)
         _, one, kind, n = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
-        copies = np.flatnonzero(n[kind] > 1)
-        out = [(copies, start[copies], start[copies] + np.diff(offsets)[copies] + CORE)]
-        kinds_of, single = np.bincount(group[one]), np.bincount(group[one], n == 1)
-        one, n = (x[(kinds_of > 1)[group[one]] & (single > 0)[group[one]]] for x in (one, n))
+        whole = (n > 1) | (np.bincount(kind, known) > 0)
+        copies = np.flatnonzero(whole[kind] & ~known)
+        out = [(copies, start[copies], start[copies] + np.diff(offsets)[copies] + LENGTH - around)]
+        kinds_of, single = np.bincount(group[one]), np.bincount(group[one], ~whole)
+        one, whole = (x[(kinds_of > 1)[group[one]] & (single > 0)[group[one]]] for x in (one, whole))
         if len(one):
             size = np.diff(offsets)[one]
             ends = np.concatenate(([0], np.cumsum(size)))
             at = np.repeat(offsets[one] - ends[:-1], size) + np.arange(ends[-1])
-            found = repeated(data[at], ends, left[one], group[one], n > 1)
-            found = found[n[found[:, 0]] == 1]
+            found = repeated(data[at], ends, left[one], group[one], whole, width)
+            found = found[~whole[found[:, 0]]]
             of, a, b = runs(found[:, 0], found[:, 1])
             out.append((one[of], start[one[of]] + a, start[one[of]] + b))
         rows, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -319,61 +359,63 @@ def by_arrays(groups: DataFrame) -> DataFrame:
     def compare(batches):
         held, size = [], 0
         for t in by_key(batches, 1):
-            if held and size + (2 * LENGTH - 2 * CORE + 2) * len(t) > ARRAY_SYMBOLS:
+            if held and size + (2 * around + 2) * len(t) > ARRAY_SYMBOLS:
                 yield done(held)
                 held, size = [], 0
             held.append(t)
-            size += (2 * LENGTH - 2 * CORE + 2) * len(t)
+            size += (2 * around + 2) * len(t)
         if held:
             yield done(held)
 
-    return groups.select("group", "key", "start", "left", "around").repartition("group").sortWithinPartitions("group").mapInArrow(compare, INTERVAL)
-
+    return groups.select(PIECE).repartition("group").sortWithinPartitions("group").mapInArrow(compare, INTERVAL)
+
+
+def by_parts(pieces: DataFrame, level: int = 0) -> DataFrame:
+    """Covered intervals of ``pieces`` in large groups, but for known ones: equal pieces as a whole, the other distinct ones
+    by suffix arrays, after they have been cut finer where a group has too many."""
+    spark, width = pieces.sparkSession, WIDTHS[level]
+    if width == 1:  # a group holds one string
+        many = pieces.groupBy("group").agg(((F.count("*") > 1) | F.max("known")).alias("many")).where("many").select(F.col("group").alias("_group"))
+        found = pieces.where("not known").select("group", "key", F.col("start").alias("first")).join(many, F.col("group") == F.col("_group"), "left_semi")
+        return found.select("key", "first", (F.col("first") + LENGTH).alias("end"))
+    kind = ["group", "left", "around"]
+    kinds_of = pieces.groupBy(kind).agg((F.count("*") > 1) | F.max("known"), F.min(F.struct("key", "start"))).toDF(*kind, "known", "one")
+    kinds_of = stage(spark, kinds_of.select("group", "one.key", "one.start", "left", "around", "known"), "repeat-kinds")
+    copies = kinds_of.where("known").select(*(F.col(c).alias(f"_{c}") for c in kind))
+    same = (F.col("group") == F.col("_group")) & (F.col("left") == F.col("_left")) & (F.col("around") == F.col("_around"))
+    found = pieces.where("not known").join(copies, same, "left_semi").select("key", F.col("start").alias("first"), (F.col("start") + F.length("around") + LENGTH - width + 1).alias("end"))
+    sizes = kinds_of.groupBy("group").agg(F.count("*").alias("size"), F.min(F.col("known").cast("int")).alias("known"))
+    sizes = stage(spark, sizes.where("size > 1 and known = 0").select(F.col("group").alias("_group"), "size"), "repeat-groups")
+    return found.union(compare_groups(kinds_of, sizes, level, level + 1))
 
-def one_by_one(groups: DataFrame) -> DataFrame:
-    """Covered intervals of the pieces of ``groups``: equal pieces as a whole, the others by a hash of each of their strings."""
-    spark = groups.sparkSession
 
-    def hashes(batches):
-        for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                part = batch.slice(lo, 2000)
-                group, _, start, left, around, known = part.columns
-                data, offsets = text_bytes(around.cast(pa.large_binary()))
-                prefix = prefix_hashes(data)
-                each = np.maximum(0, np.diff(offsets) - WINDOW + 2)
-                row = np.repeat(np.arange(len(part)), each)
-                offset = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-                at = offsets[row] + offset
-                # the bytes around the core, how many of them stand before it, and the group tell the string
-                string = span_hashes(prefix, at, at + WINDOW - 1) + group.to_numpy().view(np.uint64)[row] * _LEFT
-                string = mix(string + (left.to_numpy()[row] - offset).astype(np.uint64) * _RIGHT)
-                yield pa.record_batch([part.column(1).take(pa.array(row)), pa.array(start.to_numpy()[row] + offset), pa.array(string.view(np.int64)), known.take(pa.array(row))],
-                                      names=["key", "first", "string", "known"])
-
-    pieces = groups.select("group", "key", "start", "left", "around").distinct()
-    kinds_of = stage(spark, pieces.groupBy("group", "left", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("one")), "repeat-kinds")
-    copies = kinds_of.where("n > 1").select(F.col("group").alias("_group"), F.col("left").alias("_left"), F.col("around").alias("_around"))
-    same = (F.col("group") == F.col("_group")) & (F.col("left") == F.col("_left")) & (F.col("around") == F.col("_around"))
-    whole = pieces.join(copies, same, "left_semi").select("key", F.col("start").alias("first"), (F.col("start") + F.length("around") + CORE).alias("end"))
-    kinds_of = kinds_of.select("group", "one.key", "one.start", "left", "around", (F.col("n") > 1).alias("known"))
-    strings = stage(spark, kinds_of.mapInArrow(hashes, "key binary, first long, string long, known boolean"), "repeat-strings")
-    many = strings.groupBy("string").agg(F.count("*").alias("_n"), F.max("known").alias("_any")).where("_n > 1 or _any").select(F.col("string").alias("_string"))
-    found = strings.where("not known").join(many, F.col("string") == F.col("_string"), "left_semi")
-    return whole.union(found.select("key", "first", (F.col("first") + LENGTH).alias("end")))
+def compare_groups(pieces: DataFrame, sizes: DataFrame, level: int, finer: int) -> DataFrame:
+    """Covered intervals of ``pieces`` in the groups of ``sizes``; those of large groups are cut to the width of ``finer`` first."""
+    compared = pieces.join(broadcast_if_small(sizes, 24), F.col("group") == F.col("_group"))
+    found = by_arrays(compared.where(F.col("size") <= MOST_SEGMENTS), WIDTHS[level])
+    if sizes.where(F.col("size") > MOST_SEGMENTS).isEmpty():
+        return found
+    large = compared.where(F.col("size") > MOST_SEGMENTS).select(PIECE)
+    if finer > level:
+        large = stage(pieces.sparkSession, cut_finer(large, WIDTHS[level], WIDTHS[finer]), "finer-pieces")
+    return found.union(by_parts(large, finer))
 
 
 def covered(spark: SparkSession, texts: DataFrame) -> DataFrame:
     """(key, first, end) of byte intervals whose every byte is covered by a repeated string; they may overlap."""
     spots = stage(spark, occurrences(texts), "anchors")
-    segments = stage(spark, spots.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("one")), "segments")
-    some = segments.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single"))
-    # equal segments: everything in them is repeated
-    equal = segments.where("n > 1").select(F.col("anchor").alias("_anchor"), F.col("segment").alias("_segment"))
-    full = spots.join(equal, (F.col("anchor") == F.col("_anchor")) & (F.col("segment") == F.col("_segment")), "left_semi").select("key", "pos")
+    segments = stage(spark, spots.groupBy("anchor", "segment").agg(F.count("*").alias("n")), "segments")
+    mixed = segments.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single"))
+    mixed = mixed.where("kinds > 1 and single > 0").select(F.col("anchor").alias("_of"))
+    wanted = segments.join(mixed, F.col("anchor") == F.col("_of"), "left").where("n > 1 or _of is not null")
+    wanted = wanted.select(F.col("anchor").alias("_anchor"), F.col("segment").alias("_segment"), (F.col("n") > 1).alias("known"), F.col("_of").isNotNull().alias("mixed"))
+    # places are moved once, and kept only where a segment is repeated or has others around its anchor
+    places = spots.join(wanted, (F.col("anchor") == F.col("_anchor")) & (F.col("segment") == F.col("_segment"))).select("key", "pos", "anchor", "segment", "known", "mixed")
+    places = stage(spark, places, "places")
+    full = places.where("known").select("key", "pos")  # equal segments: everything in them is repeated
     # different segments around one anchor: the distinct ones are compared
-    mixed = segments.join(some.where("kinds > 1 and single > 0").select(F.col("anchor").alias("_anchor")), F.col("anchor") == F.col("_anchor"), "left_semi")
-    members = mixed.select(F.col("one.key").alias("_key"), F.struct(F.col("one.pos").alias("pos"), (F.col("n") > 1).alias("known")).alias("spot"))
+    members = places.where("mixed").groupBy("anchor", "segment", "known").agg(F.min(F.struct("key", "pos")).alias("one"))
+    members = members.select(F.col("one.key").alias("_key"), F.struct(F.col("one.pos").alias("pos"), "known").alias("spot"))
     members = members.groupBy("_key").agg(F.collect_list("spot").alias("spots"))  # at most a text's own anchors
     members = stage(spark, members, "members")
     keys = broadcast_if_small(stage(spark, members.select(F.col("_key").alias("_of")), "member-keys"), 48)
@@ -383,8 +425,7 @@ def covered(spark: SparkSession, texts: DataFrame) -> DataFrame:
     pieces = stage(spark, cut_out(once), "pieces")
     sizes = pieces.groupBy("group").agg(F.count("*").alias("size"), F.min(F.col("known").cast("int")).alias("known"))
     sizes = stage(spark, sizes.where("size > 1 and known = 0").select(F.col("group").alias("_group"), "size"), "groups")
-    compared = pieces.drop("known").join(broadcast_if_small(sizes, 24), F.col("group") == F.col("_group"))
-    found = by_arrays(compared.where(F.col("size") <= MOST_SEGMENTS)).union(one_by_one(compared.where(F.col("size") > MOST_SEGMENTS)))
+    found = compare_groups(pieces, sizes, 0, 0)  # equal pieces of large groups are brought together before any is cut finer
     whole = full.select("key", F.greatest(F.col("pos") - REACH, F.lit(0)).alias("first"), (F.col("pos") + LENGTH).alias("end"))  # the end is cut to the text later
     return whole.union(found)
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 import public_tokenizers
 from covercost.llm import byte_bpe, decontamination, language_id, minhash_dedup, pii, quality_ranking, quality_rules, queries, suffix_dedup, toxicity, warc
-from covercost.llm.base import table
+from covercost.llm.base import stage, table
 
 from .conftest import duck, rows
 
@@ -71,6 +72,36 @@ def test_repeats(spark, monkeypatch, most):
         assert bytes(r.kept) == np.frombuffer(t, np.uint8)[~hide].tobytes() and r.n_removed == hide.sum()
 
 
+def test_large_groups_of_repeats_are_cut_finer(spark, monkeypatch):
+    """A large group's different pieces are compared in a few parts each, not by a row for each of their 41 strings."""
+    monkeypatch.setattr(suffix_dedup, "MOST_SEGMENTS", 8)
+    staged = []
+
+    def counted(*args):
+        out = stage(*args)
+        staged.append((args[2], out.count()))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stage", counted)
+    rng = np.random.default_rng(7)
+
+    def letters(n):
+        return "".join(rng.choice(list("abcdefgh"), n))
+
+    passage = letters(230)
+    texts = {k: letters(120) + passage[:230 - k % 3 * 25] + letters(120) for k in range(60)}  # every third is cut to 205, every third to 180 bytes
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    seen = Counter(t[i:i + 200] for t in texts.values() for i in range(len(t) - 199))
+    for k, t in texts.items():
+        hide = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            hide[i:i + 200] |= seen[t[i:i + 200]] > 1
+        assert bytes(got[k].kept) == np.frombuffer(t.encode(), np.uint8)[~hide].tobytes() and got[k].n_removed == hide.sum()
+        assert (got[k].n_removed > 0) == (k % 3 < 2)
+    kinds = next(n for name, n in staged if name == "repeat-kinds")
+    assert kinds > 60 and sum(n for name, n in staged if name in ("repeat-strings", "finer-pieces")) < 20 * kinds
+
+
 def test_minhash_is_unbiased():
     rng = np.random.default_rng(5)
     both = rng.integers(0, 2**63, 400).astype(np.uint64)
