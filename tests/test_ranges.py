@@ -57,6 +57,12 @@ def test_ranges_give_the_whole_result_and_leave_nothing_else(spark, ranges, name
     assert {x.split("-")[1] for x in set(os.listdir(folder)) - before} == left
 
 
+def test_all_changed_pages_are_repriced(spark, tables):
+    """Every kind of edit counts: the pages with deleted incidents, or others' hours, too."""
+    pages = {r.pagina for r in Q.page_changes(spark, tables).where("estado <> 'removed' and session_jefe = 'SUP1'").select("pagina").collect()}
+    assert pages == {r.pagina for r in Q.repriced_pages(spark, tables).where("session_jefe = 'SUP1'").select("pagina").collect()} and len(pages) > 1
+
+
 def test_numbers_go_on_and_cut_pages_are_joined(spark):
     rows = [fact(f"{i:03d}", jefe=j, horas=float(i)) for i in range(70) for j in ("S1", "S2", None) if j != "S2" or i >= 30]
     df = spark.createDataFrame(rows, FACT_SCHEMA)
