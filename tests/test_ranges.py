@@ -47,7 +47,9 @@ def ranges(spark, tables):
     os.utime(f"{tables}/nation.parquet")
 
 
-@pytest.mark.parametrize("name, left", [("stored_edits", {"kept"}), ("stored_page", {"kept"}), ("stored_clear", {"kept"}), ("page_changes", {"changed"}), ("repriced_pages", {"repriced"}), ("totals_after_edits", {"totals", "deltas"}), ("manifest_states", {"last", "now", "same"})])
+@pytest.mark.parametrize("name, left", [("paged_incidents", {"paged"}), ("stored_page", {"kept"}), ("stored_clear", {"kept"}), ("stored_edits", {"kept"}),
+                                        ("totals_after_edits", {"totals", "deltas"}), ("manifest_states", {"last", "now", "same"}),
+                                        ("page_changes", {"changed"}), ("repriced_pages", {"repriced"})])
 def test_ranges_give_the_whole_result_and_leave_nothing_else(spark, ranges, name, left):
     assert len(context(spark, ranges).cuts) == 1
     folder = ensure_checkpoint_dir(spark).removeprefix("file:")
