@@ -81,3 +81,11 @@ def test_a_null_lies_in_the_first_range(spark):
     df = spark.createDataFrame([(None,), ("a",), ("b",), ("c",)], "x string")
     got = [[r.x for r in df.where(J.in_range("x", *b)).collect()] for b in ((None, "b"), ("b", "c"), ("c", None))]
     assert got == [[None, "a"], ["b"], ["c"]] and df.where(J.in_range("x", None, None)).count() == 4
+
+
+def test_manifests_leave_out_incidents_without_a_month(spark, tmp_path):
+    for name, sql in TABLES.items():
+        sql = sql.replace("timestamp '1995-01-10'", "case when i % 7 <> 0 then timestamp '1995-01-10' end")
+        duckdb.sql(f"copy ({sql}) to '{tmp_path}/{name}.parquet' (format parquet)")
+    got = compare(spark, str(tmp_path), "manifest_states", Q.manifest_states, entry.oracle_sql()["manifest_states"], duck(str(tmp_path)))
+    assert got["status"] == "ok"
